@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.llm import mixing, rules, tokenizer
+from tidewater.llm import mixing, rules, secret_scan, tokenizer, urls
 
-MODULES = [mixing, rules, tokenizer]
+MODULES = [mixing, rules, secret_scan, tokenizer, urls]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
