@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.llm import jaccard, mixing, rules, secret_scan, tokenizer, urls
+from tidewater.llm import jaccard, mixing, rules, secret_scan, tokenizer, urls, vectors
 
-MODULES = [jaccard, mixing, rules, secret_scan, tokenizer, urls]
+MODULES = [jaccard, mixing, rules, secret_scan, tokenizer, urls, vectors]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
