@@ -1,6 +1,7 @@
 """Quality classifier: Naive Bayes support vectors over hashed n-gram indicators.
 
-Indicators of word unigrams, word bigrams and byte trigrams are hashed to CELLS cells. Each cell is
+Indicators of word unigrams, word bigrams, byte trigrams and of the share of bigrams that repeat a
+word are hashed to CELLS cells. Each cell is
 scaled by the log-count ratio of the two classes; a linear hinge-loss model over the scaled, length-one
 vectors is fit by dual coordinate descent, and its margin is turned into a probability by a logistic
 curve fit on a part of the sample that the model did not see.
@@ -30,7 +31,7 @@ def _cells(data: np.ndarray, offsets: np.ndarray):
     one, two = (words & low).astype(np.int32), (pair & low).astype(np.int32)
     for i in range(len(offsets) - 1):
         a, b = at[i], at[i + 1]
-        parts = [one[a:b], two[a : max(a, b - 1)]]
+        parts = [one[a:b], two[a : max(a, b - 1)], _shape(words[a:b])]
         text = data[offsets[i] : offsets[i + 1]].astype(np.uint32)
         if len(text) > 2:
             three = (text[:-2] << np.uint32(16)) | (text[1:-1] << np.uint32(8)) | text[2:]
@@ -38,6 +39,15 @@ def _cells(data: np.ndarray, offsets: np.ndarray):
         yield np.concatenate(parts)
 
 
+def _shape(words: np.ndarray) -> np.ndarray:
+    """Cells of how often a word follows itself: one set for each share of the bigrams that is reached."""
+    if len(words) < 2:
+        return np.empty(0, np.int32)
+    share = (words[1:] == words[:-1]).mean()
+    reached = np.flatnonzero(share >= np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8]))
+    return (mix(np.arange(1 << 40, (1 << 40) + 16 * len(reached), dtype=U64)) & U64(CELLS - 1)).astype(np.int32)
+
+
 def _distinct(cells: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     """Each cell once, without a sort; scratch is an int32 array of CELLS."""
     order = np.arange(len(cells), dtype=np.int32)
