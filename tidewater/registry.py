@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from tidewater.operators import aggregates, relational
 
-QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
-ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
+MODULES = [relational, aggregates]
+
+QUERIES = {k: f for m in MODULES for k, f in m.book.queries.items()}
+ORACLES = {k: s for m in MODULES for k, s in m.book.oracles.items()}
