@@ -14,6 +14,8 @@ fixed bounds; counts of rarer words are joined, never gathered.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,8 @@ VOCABULARY = CLASSES * MEMBERS
 ROWS = 1 << 14
 #: Tokens gathered by a task before it sends their counts.
 GATHER = 1 << 22
-BATCH = 1 << 13
-RATE = 0.15
+BATCH = 1 << 14
+RATE = 0.2
 
 END = U64(0x1F83D9ABFB41BD6B)
 START = U64(0x5BE0CD19137E2179)
@@ -209,10 +211,11 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: tuple[tuple[int, int], ...] = ((0, 1), (1, 4))) -> np.ndarray:
     """Averaged weights. texts: (text, part 0 to 3); ``rounds`` are ranges of parts.
 
-    Each task sends its weights times its tokens as one row of fixed size; these are summed in
-    ADDERS tasks, so that at most ADDERS rows reach the driver.
+    Each task sends its change of the weights, times its tokens, as one row of fixed size. These are
+    summed in about as many tasks as the square root of their number, and then in one; the driver gets
+    a single row.
     """
-    adders = 8
+    adders = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     sc = texts.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
     flat = Model(vocabulary).weights()
@@ -234,22 +237,22 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: tuple[tuple[int, int
                 n += len(h)
             if n:
                 change = ((model.weights() - start.value) * np.float32(n)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([int(mix(np.array([n], U64))[0] & U64(0xFFFF))]), pa.array([change.tobytes()], pa.binary())], names=["n", "salt", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([change.tobytes()], pa.binary())], names=["n", "change"])
 
         def add(batches):
             n, total = 0, None
             for batch in batches:
                 for i in range(batch.num_rows):
-                    change = np.frombuffer(batch.column(2)[i].as_buffer(), np.float32)
+                    change = np.frombuffer(batch.column(1)[i].as_buffer(), np.float32)
                     n, total = n + batch.column(0)[i].as_py(), change.astype(np.float64) if total is None else total + change
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["n", "change"])
 
         part = texts.where((F.col("part") >= low) & (F.col("part") < high)).select("text")
-        sums = part.mapInArrow(learn, "n long, salt long, change binary").repartition(adders, "salt").mapInArrow(add, "n long, total binary").collect()
-        n = sum(r["n"] for r in sums)
-        if n:
-            flat = (flat + sum(np.frombuffer(r["total"]) for r in sums) / n).astype(np.float32)
+        schema = "n long, change binary"
+        changes = part.mapInArrow(learn, schema).repartition(adders).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema)
+        for row in changes.collect():
+            flat = (flat + np.frombuffer(row["change"], np.float32) / row["n"]).astype(np.float32)
         start.unpersist()
     words.unpersist()
     return flat
