@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewater.operators import aggregates, relational
+from tidewater.functions import strings
+from tidewater.operators import aggregates, relational, sequences
 
-MODULES = [relational, aggregates]
+MODULES = [relational, aggregates, sequences, strings]
 
 QUERIES = {k: f for m in MODULES for k, f in m.book.queries.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.book.oracles.items()}
