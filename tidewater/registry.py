@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from tidewater.functions import strings
-from tidewater.operators import aggregates, relational, sequences
+from tidewater.operators import aggregates, graphs, relational, sequences
 
-MODULES = [relational, aggregates, sequences, strings]
+MODULES = [relational, aggregates, sequences, strings, graphs]
 
 QUERIES = {k: f for m in MODULES for k, f in m.book.queries.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.book.oracles.items()}
