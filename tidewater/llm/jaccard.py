@@ -6,12 +6,16 @@ the first shingles in one global order are its prefix: the shingles that are fre
 documents come last, the rest by their hashes. Two sets that are similar enough share a shingle of
 their prefixes, whatever the order is, so no link is lost.
 
+The prefix is a little longer than one common shingle asks for, so that similar sets share SHARED.
+
 Classes with one size and prefix are one group. A shingle that only one group has in its prefix is
-dropped; the groups that share one are filtered by size, expanded to their classes and verified on
-whole sets. A bucket of many classes is not joined with itself: first every class is held against a
-few pivots of its bucket, the same ones in all its buckets; what these link needs no more comparisons,
-and only pairs that are still in different components follow, block by block. Every such pair is
-compared, so the components are exact.
+dropped; the groups that share one are expanded to their classes, and pairs are filtered by size and
+by how many prefix shingles they share. A bucket of many classes is not joined with itself: first
+every class is held against the bucket's PIVOTS, the same ones in all its buckets; only pairs that are
+still in different components follow, block by block. Every such pair is compared, so the components
+are exact. Parity maps of the shingles, a sixteenth of the size, bound what two sets can have in
+common; only pairs that they let through meet with their whole sets, the likeliest of each class and component
+first, and none whose ends are linked by then.
 """
 
 from __future__ import annotations
@@ -25,12 +29,16 @@ from pyspark.sql import Window as W
 from tidewater.llm.shared import BLOOM_WORDS, components, cut, in_bloom
 from tidewater.llm.text import U64, column_bytes, mix, shingle_hashes, slices, word_hashes
 
-#: At most so many shingles count as frequent: their list is 16 MB at most.
-FREQUENT = 1 << 20
+#: At most so many shingles count as frequent: their list is 48 MB at most.
+FREQUENT = 1 << 22
 #: Shingles gathered by a task before it counts the repeated ones.
-GATHER = 1 << 20
-#: Pivots of a bucket in the rounds before the exact one.
-PIVOTS = (3, 16)
+GATHER = 1 << 22
+#: Prefix shingles that similar sets must share.
+SHARED = 4
+#: Pivots of a bucket.
+PIVOTS = 16
+#: Rounds in which only the likeliest pairs are verified.
+NEAREST = 2
 #: Classes in a block of the exact round.
 BLOCK_ROWS = 512
 
@@ -54,7 +62,8 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 def _prefix(s: np.ndarray, similarity: int, frequent: np.ndarray, rank: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The first shingles of a sorted set in the global order, as many as the similarity asks for."""
     n = len(s)
-    take = n - -(-similarity * n // 100) + 1
+    least = -(-similarity * n // 100)
+    take = n - least + min(SHARED, least)
     hit = np.flatnonzero(mask[(s & U64(len(mask) - 1)).astype(np.int64)])
     if len(hit):
         spot = np.minimum(np.searchsorted(frequent, s[hit]), len(frequent) - 1)
@@ -98,6 +107,21 @@ def _pair_key(cid: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return mix(cid.view(U64) * U64(0x9E3779B97F4A7C15) + doc.astype(np.int64).view(U64)).view(np.int64)
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bit for each residue of the shingles' hashes, on if an odd number of them has it; four bits a shingle or so."""
+    size = 1 << min(17, max(6, int(4 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differences(x: np.ndarray, y: np.ndarray) -> int:
+    """At least so many shingles are in one of two sets only: a larger map is folded to the smaller one's size."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def near_duplicates(documents: DataFrame, text: str = "text", similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -113,15 +137,16 @@ def near_duplicates(documents: DataFrame, text: str = "text", similarity: int =
 
         def repeated():
             all_, counts = np.unique(np.concatenate(gathered), return_counts=True)
-            keep = counts >= 3
+            keep = counts >= 2
             zero = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([zero, pa.array(counts[keep].astype(np.int64)), pa.array(all_[keep].view(np.int64)), zero, pa.array(np.ones(int(keep.sum()), bool))], names=names)
+            nothing = pa.nulls(int(keep.sum()), pa.binary())
+            return pa.RecordBatch.from_arrays([zero, pa.array(counts[keep].astype(np.int64)), pa.array(all_[keep].view(np.int64)), zero, pa.array(np.ones(int(keep.sum()), bool)), nothing], names=names)
 
-        names = ["doc_id", "n", "a", "b", "shingle"]
+        names = ["doc_id", "n", "a", "b", "shingle", "parity"]
         for part, sets in _sets(batches, "text"):
             prints = [_fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(np.zeros(len(sets), bool))], names=names
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(np.zeros(len(sets), bool)), pa.array([_parity(s) for s in sets], pa.binary())], names=names
             )
             gathered += sets
             n += sum(map(len, sets))
@@ -131,17 +156,18 @@ def near_duplicates(documents: DataFrame, text: str = "text", similarity: int =
         if gathered:
             yield repeated()
 
-    seen = cut(docs.mapInArrow(first_pass, "doc_id long, n long, a long, b long, shingle boolean"))
+    seen = cut(docs.mapInArrow(first_pass, "doc_id long, n long, a long, b long, shingle boolean, parity binary"))
     rows = seen.where("not shingle").select("doc_id", "n", F.col("a").alias("cid"), "b")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(12, total // FREQUENT)
     counted = seen.where("shingle").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     frequent = counted.column("a").to_numpy().view(U64)
     order = np.argsort(frequent)
-    frequent, rank = frequent[order], counted.column("n").to_numpy()[order]
+    frequent, rank = frequent[order], counted.column("n").to_numpy()[order].astype(np.int32)
     mask = np.zeros(1 << 20, bool)
     mask[(frequent & U64(len(mask) - 1)).astype(np.int64)] = True
     classes = cut(rows.where("n > 0").groupBy("cid", "n", "b").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")))
+    parity = seen.where("not shingle and n > 0").select(F.col("a").alias("cid"), "n", "parity")
 
     # Only one copy of a class has to give its set; a filter lets others through now and then.
     copied = classes.where("copies > 1 and first_doc is not null")
@@ -162,34 +188,39 @@ def near_duplicates(documents: DataFrame, text: str = "text", similarity: int =
         frequent, rank, mask = shared.value[:3]
         for part, sets in _sets(batches, "text"):
             at, cid = giving(part, sets)
-            shingles, groups, ids, sizes = [], [], [], []
+            shingles, groups, ids, sizes, weights = [], [], [], [], []
             for i in at:
                 prefix = _prefix(sets[i], similarity, frequent, rank, mask)
                 group = mix(mix(prefix ^ U64(7)).sum(dtype=U64)[None] + U64(len(sets[i])))
-                # the group itself is a bucket of its classes
+                # the group itself is a bucket of its classes, which share their whole prefix
                 shingles += [prefix, group ^ U64(0x0123456789ABCDEF)]
                 groups += [np.repeat(group, len(prefix)), cid[i : i + 1].view(U64)]
                 ids.append(np.full(len(prefix) + 1, cid[i]))
                 sizes.append(np.full(len(prefix) + 1, len(sets[i]), np.int32))
+                weights.append(np.append(np.ones(len(prefix), np.int32), np.int32(SHARED)))
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["h", "gid", "cid", "n"]
+                    [pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(groups).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(weights))], names=["h", "gid", "cid", "n", "w"]
                 )
 
-    prefixes = docs.mapInArrow(second_pass, "h long, gid long, cid long, n int")
-    entries = cut(prefixes.repartition("h").sortWithinPartitions("h", "gid", "cid").mapInArrow(_shared_only, "h long, cid long, n int"))
-    involved = _filter(entries.select("cid").distinct())
-    wanted = spark.sparkContext.broadcast(involved)
+    prefixes = docs.mapInArrow(second_pass, "h long, gid long, cid long, n int, w int")
+    entries = cut(prefixes.repartition("h").sortWithinPartitions("h", "gid", "cid").mapInArrow(_shared_only, "h long, cid long, n int, w int"))
 
-    def third_pass(batches):
-        for part, sets in _sets(batches, "text"):
-            at, cid = giving(part, sets)
-            at = at[_wanted(cid[at], wanted.value)] if len(at) else at
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["cid", "shingles"])
+    def sets_of(wanted):
+        """(cid, shingles) of the classes in a one-column table, read from the texts once more."""
+        words = spark.sparkContext.broadcast(_filter(wanted))
 
-    sets = cut(docs.mapInArrow(third_pass, "cid long, shingles binary").dropDuplicates(["cid"]))
-    links = _links(entries, sets, similarity)
+        def third_pass(batches):
+            for part, sets in _sets(batches, "text"):
+                at, cid = giving(part, sets)
+                at = at[_wanted(cid[at], words.value)] if len(at) else at
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["cid", "shingles"])
+
+        found = docs.mapInArrow(third_pass, "cid long, shingles binary").join(wanted.withColumnRenamed("cid", "w"), F.col("cid") == F.col("w"), "left_semi")
+        return cut(found.dropDuplicates(["cid"]))
+
+    links = _links(entries, parity, sets_of, similarity)
 
     joined = components(links)
     of = classes.join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -218,12 +249,12 @@ def _shared_only(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, g, c, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        h, g, c, n, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         fresh[0] = last is None or (h[0], c[0]) != last
         last = (h[-1], c[-1])
-        h, g, c, n = h[fresh], g[fresh], c[fresh], n[fresh]
+        h, g, c, n, w = h[fresh], g[fresh], c[fresh], n[fresh], w[fresh]
         if not len(h):
             continue
         starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -240,57 +271,98 @@ def _shared_only(batches):
                 held, passed = [], True
                 keep[a:b] = True
             else:
-                held.append((h[a:b], c[a:b], n[a:b]))
+                held.append((h[a:b], c[a:b], n[a:b], w[a:b]))
         if len(starts) > 1 or h0 != h[0]:
             a = starts[-1]
             passed = bool(keep[a])
-            held = [] if passed else [(h[a:], c[a:], n[a:])]
+            held = [] if passed else [(h[a:], c[a:], n[a:], w[a:])]
         h0, g0 = h[-1], g[-1]
-        out.append((h[keep], c[keep], n[keep]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(3)], names=["h", "cid", "n"])
+        out.append((h[keep], c[keep], n[keep], w[keep]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in range(4)], names=["h", "cid", "n", "w"])
 
 
-def _links(entries: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _links(entries: DataFrame, parity: DataFrame, sets_of, similarity: int) -> DataFrame:
     """Verified links (a, b) that span every component of the join."""
     fits = f"100L * least(n, m) >= {similarity}L * greatest(n, m)"
     sized = entries.withColumn("size", F.count("*").over(W.partitionBy("h")))
-    ranked = cut(sized.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("cid"), "cid"))).select("h", "cid", "n", "size", "r"))
-    links = checked = None
-    label = None
-    for k in (*PIVOTS, None):
-        now = ranked if label is None else ranked.where(F.col("size") > done + 1).join(label, ranked["cid"] == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid")).drop("id")
-        if label is not None:
-            apart = now.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-            now = now.join(apart, "h")
-        cross = "component <> pivot_component and " if label is not None else ""
-        own = F.col("component").alias("pivot_component") if label is not None else F.lit(0).alias("pivot_component")
-        if k:
-            pivots = now.where(F.col("r") <= k).select(F.col("h").alias("ph"), F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("r").alias("pr"), own)
-            pairs = now.join(pivots, (F.col("h") == F.col("ph")) & (F.col("pr") < F.col("r"))).where(cross + fits)
-        else:
-            blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-            block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-            cells = now.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            cells = cells.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "component", "block")
-            left = cells.where("block = i")
-            right = cells.where("block = j").select(F.col("h").alias("ph"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("pivot_component"))
-            on = (F.col("h") == F.col("ph")) & (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj"))
-            pairs = left.join(right, on).where("(i < j or cid < pivot) and " + cross + fits)
-        pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        verdicts = cut(_verify(pairs, sets, similarity))
-        found = verdicts.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        checked = verdicts.select("a", "b") if checked is None else checked.union(verdicts.select("a", "b"))
-        done = k
-        if k:
-            label = components(links)
-    return links
+    ranked = cut(sized.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("cid"), "cid"))).select("h", "cid", "n", "w", "size", "r"))
+    pivots = ranked.where(F.col("r") <= PIVOTS).select(F.col("h").alias("ph"), F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("r").alias("pr"))
+    pairs = ranked.where("size > 1").join(pivots, (F.col("h") == F.col("ph")) & (F.col("pr") < F.col("r"))).where(fits)
+    # in buckets beyond the pivots, not all shared shingles of two classes are counted
+    full = F.col("size") <= PIVOTS + 1
+    pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.least("n", "m").alias("small"), "w", F.when(full, F.col("w")).otherwise(0).alias("counted"))
+    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.sum("counted").alias("counted"), F.min("small").alias("small")))
+    need = F.least(F.lit(SHARED), F.ceil(F.col("small") * similarity / 100))
+    bounded = cut(_bounded(pairs.where(F.col("shared") >= need).select("a", "b"), parity, similarity))
+    possible = bounded.where("possible")
+    sets = sets_of(cut(possible.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
+
+    # the likeliest pair of every class, then of every component, then whatever is still apart
+    links = label = None
+    todo = possible.select("a", "b", "d")
+    for _ in range(NEAREST):
+        ends = F.array("a", "b") if label is None else F.array("of_a", "of_b")
+        best = todo.select(F.explode(ends).alias("end"), F.struct("d", "a", "b").alias("pair")).groupBy("end").agg(F.min("pair").alias("pair"))
+        best = cut(best.select("pair.a", "pair.b").distinct())
+        found = _verify(best, sets, similarity)
+        links = found if links is None else cut(links.union(found))
+        label = components(links)
+        todo = cut(_apart(todo.select("a", "b", "d").join(best, ["a", "b"], "left_anti"), label))
+    links = cut(links.union(_verify(todo.select("a", "b"), sets, similarity)))
+    label = components(links)
+
+    crowded = ranked.where(F.col("size") > PIVOTS + 1).join(label, ranked["cid"] == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid")).drop("id")
+    mixed = crowded.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    cells = crowded.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "w", "component", "block")
+    left = cells.where("block = i")
+    right = cells.where("block = j").select(F.col("h").alias("ph"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other_component"))
+    on = (F.col("h") == F.col("ph")) & (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj"))
+    found = left.join(right, on).where("(i < j or cid < pivot) and component <> other_component and " + fits)
+    found = found.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.least("n", "m").alias("small"), "w")
+    found = found.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.min("small").alias("small"))
+    found = found.join(pairs.select("a", "b", "counted"), ["a", "b"], "left").where(F.col("shared") + F.coalesce("counted", F.lit(0)) >= need)
+    pairs = found.select("a", "b").join(bounded, ["a", "b"], "left_anti")
+    last = cut(_bounded(pairs, parity, similarity)).where("possible").select("a", "b")
+    if last.isEmpty():
+        return links
+    sets = sets_of(cut(last.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
+    return links.union(_verify(last, sets, similarity))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b, d) whose ends are in different components, with these."""
+    one = label.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
+    two = label.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
+    named = pairs.join(one, "a", "left").join(two, "b", "left")
+    named = named.withColumn("of_a", F.coalesce("of_a", "a")).withColumn("of_b", F.coalesce("of_b", "b"))
+    return named.where("of_a <> of_b").select("a", "b", "d", "of_a", "of_b")
+
+
+def _bounded(pairs: DataFrame, parity: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, d, possible): d is the known share of differences in a million; pairs whose parity maps differ in more bits than linked sets can are not possible."""
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            possible, share = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int32)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                d = _differences(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                share[i] = d * 1_000_000 // size[i]
+                possible[i] = 100 * (size[i] - d) >= similarity * (size[i] + d)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(share), pa.array(possible)], names=["a", "b", "d", "possible"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    maps = cut(parity.join(ends, "cid", "left_semi").dropDuplicates(["cid"]))
+    one = maps.select(F.col("cid").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x"))
+    two = maps.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, d int, possible boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, linked): the exact comparison of whole sets."""
+    """(a, b) of the pairs that link, by the exact comparison of whole sets."""
 
     def run(batches):
         for batch in batches:
@@ -300,11 +372,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 both = int((q[spot] == p).sum())
                 linked[i] = 100 * both >= similarity * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked))
 
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return cut(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def drop_near_duplicates(documents: DataFrame, text: str = "text", similarity: int = 80) -> DataFrame:

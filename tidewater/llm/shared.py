@@ -77,24 +77,27 @@ def in_bloom(words, a, b):
     return (hit(a) & hit(b)).astype(bool)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, rows: int = 250_000) -> DataFrame:
     """Connected components of an edge list as (id, component), component the smallest id reached.
 
     Alternating large-star and small-star steps: each keeps connectivity and at most as many edges,
     and the edges end as stars around each smallest id, in a number of rounds that grows with the
-    logarithm of the longest chain. Loops and repeated edges are harmless; ids without an edge to
-    another id get no row. Every round ends with its edges in the shared folder.
+    logarithm of the longest chain. Loops and repeated edges are harmless. The smallest id of a
+    component gets no row, nor does an id without an edge to another. Every round ends with its edges in
+    the shared folder, in partitions of about ``rows``.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
+    parts = now.count() // rows + 1
+    now, seen = now.coalesce(parts), None
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(large.coalesce(parts))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now = cut(small.where("u <> v").distinct().coalesce(parts))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
