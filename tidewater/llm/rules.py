@@ -139,7 +139,11 @@ def quality_filter(documents: DataFrame, sample_rows: int = 2000) -> DataFrame:
     plain = documents.select("doc_id", "text")
     order = ordered(rules(), measure(plain, rules(), sample_rows))
     own = documents.withColumnRenamed("words", "own_words_")  # a column of that name is set aside and put back
-    kept = own.withColumn("words", words()).where(first_failure(order).isNull()).drop("words")
+    own = own.withColumn("words", words())
+    # A filter would be pushed down and the words pasted into every use, inside lambdas too. A generator's
+    # input is not, so the verdict is made there, once a row.
+    verdict = F.explode_outer(F.array(first_failure(order).isNull()))
+    kept = own.select("*", verdict.alias("kept_by_rules_")).where("kept_by_rules_").drop("words", "kept_by_rules_")
     return kept.withColumnRenamed("own_words_", "words").select(*documents.columns)
 
 
