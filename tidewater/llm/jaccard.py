@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewater.llm.shared import BLOOM_WORDS, components, cut, in_bloom
+from tidewater.llm.shared import BLOOM_WORDS, components, cut, in_bloom, pack
 from tidewater.llm.text import U64, column_bytes, mix, shingle_hashes, slices, word_hashes
 
 #: At most so many shingles count as frequent: their list is 48 MB at most.
@@ -288,14 +288,12 @@ def _links(entries: DataFrame, parity: DataFrame, sets_of, similarity: int) -> D
     ranked = cut(sized.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("cid"), "cid"))).select("h", "cid", "n", "w", "size", "r"))
     pivots = ranked.where(F.col("r") <= PIVOTS).select(F.col("h").alias("ph"), F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("r").alias("pr"))
     pairs = ranked.where("size > 1").join(pivots, (F.col("h") == F.col("ph")) & (F.col("pr") < F.col("r"))).where(fits)
-    # in buckets beyond the pivots, not all shared shingles of two classes are counted
-    full = F.col("size") <= PIVOTS + 1
-    pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.least("n", "m").alias("small"), "w", F.when(full, F.col("w")).otherwise(0).alias("counted"))
-    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.sum("counted").alias("counted"), F.min("small").alias("small")))
+    pairs = pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.least("n", "m").alias("small"), "w")
+    pairs = pack(pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.min("small").alias("small")))
     need = F.least(F.lit(SHARED), F.ceil(F.col("small") * similarity / 100))
-    bounded = cut(_bounded(pairs.where(F.col("shared") >= need).select("a", "b"), parity, similarity))
+    bounded = pack(_bounded(pairs.where(F.col("shared") >= need).select("a", "b"), parity, similarity))
     possible = bounded.where("possible")
-    sets = sets_of(cut(possible.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
+    sets = sets_of(pack(possible.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
 
     # the likeliest pair of every class, then of every component, then whatever is still apart
     links = label = None
@@ -303,12 +301,12 @@ def _links(entries: DataFrame, parity: DataFrame, sets_of, similarity: int) -> D
     for _ in range(NEAREST):
         ends = F.array("a", "b") if label is None else F.array("of_a", "of_b")
         best = todo.select(F.explode(ends).alias("end"), F.struct("d", "a", "b").alias("pair")).groupBy("end").agg(F.min("pair").alias("pair"))
-        best = cut(best.select("pair.a", "pair.b").distinct())
+        best = pack(best.select("pair.a", "pair.b").distinct())
         found = _verify(best, sets, similarity)
-        links = found if links is None else cut(links.union(found))
+        links = found if links is None else pack(links.union(found))
         label = components(links)
-        todo = cut(_apart(todo.select("a", "b", "d").join(best, ["a", "b"], "left_anti"), label))
-    links = cut(links.union(_verify(todo.select("a", "b"), sets, similarity)))
+        todo = pack(_apart(todo.select("a", "b", "d").join(best, ["a", "b"], "left_anti"), label))
+    links = pack(links.union(_verify(todo.select("a", "b"), sets, similarity)))
     label = components(links)
 
     crowded = ranked.where(F.col("size") > PIVOTS + 1).join(label, ranked["cid"] == F.col("id"), "left").withColumn("component", F.coalesce("component", "cid")).drop("id")
@@ -316,22 +314,67 @@ def _links(entries: DataFrame, parity: DataFrame, sets_of, similarity: int) -> D
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     cells = crowded.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "w", "component", "block")
-    left = cells.where("block = i")
-    right = cells.where("block = j").select(F.col("h").alias("ph"), F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other_component"))
-    on = (F.col("h") == F.col("ph")) & (F.col("i") == F.col("pi")) & (F.col("j") == F.col("pj"))
-    found = left.join(right, on).where("(i < j or cid < pivot) and component <> other_component and " + fits)
-    found = found.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b"), F.least("n", "m").alias("small"), "w")
-    found = found.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.min("small").alias("small"))
-    found = found.join(pairs.select("a", "b", "counted"), ["a", "b"], "left").where(F.col("shared") + F.coalesce("counted", F.lit(0)) >= need)
-    pairs = found.select("a", "b").join(bounded, ["a", "b"], "left_anti")
-    last = cut(_bounded(pairs, parity, similarity)).where("possible").select("a", "b")
+    cells = cells.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "component")
+    maps = parity.join(crowded.join(mixed, "h").select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "parity")
+    cells = cells.join(maps, "cid").select("h", "i", "j", "block", "cid", "n", "component", "parity")
+    cells = cells.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    found = cells.mapInArrow(_bounded_blocks(similarity), "a long, b long").distinct()
+    last = pack(found.join(bounded, ["a", "b"], "left_anti"))
     if last.isEmpty():
         return links
-    sets = sets_of(cut(last.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
+    sets = sets_of(pack(last.select(F.explode(F.array("a", "b")).alias("cid")).distinct()))
     return links.union(_verify(last, sets, similarity))
 
 
+def _bounded_blocks(similarity: int):
+    """Streams rows sorted by (h, i, j): pairs of two blocks of a bucket, or within one, that are in different
+    components and that sizes and parity maps let through. Nothing else leaves the task."""
+
+    def pairs(rows: pa.Table):
+        cid, n, component, block = (rows.column(c).to_numpy() for c in ("cid", "n", "component", "block"))
+        same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        maps = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("parity").combine_chunks()]
+        width = np.array([len(m) for m in maps])
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            near = np.flatnonzero((width == w) | (width == 2 * w))
+            # a map of twice the size is folded; sizes further apart belong to sets too unlike
+            folded = np.stack([maps[k] if len(maps[k]) == w else maps[k][:w] ^ maps[k][w:] for k in near])
+            for k in own:
+                fits = (component[near] != component[k]) & ((width[near] > w) | (near > k))
+                fits &= 100 * np.minimum(n[near], n[k]).astype(np.int64) >= similarity * np.maximum(n[near], n[k])
+                if not same:
+                    fits &= block[near] != block[k]
+                at = np.flatnonzero(fits)
+                if len(at):
+                    d = np.bitwise_count(folded[at] ^ folded[np.searchsorted(near, k)]).sum(axis=1, dtype=np.int64)
+                    size = n[near[at]].astype(np.int64) + n[k]
+                    for t in near[at[100 * (size - d) >= similarity * (size + d)]]:
+                        yield (cid[k], cid[t]) if cid[k] < cid[t] else (cid[t], cid[k])
+
+    def out(rows: pa.Table):
+        found = np.array(sorted(set(pairs(rows))), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            rest = new if rest is None else pa.concat_tables([rest, new])
+            h, i, j = (rest.column(c).to_numpy() for c in ("h", "i", "j"))
+            ends = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip([0, *ends], ends):
+                yield out(rest.slice(a, b - a))
+            if len(ends):
+                rest = rest.slice(ends[-1])
+        if rest is not None:
+            yield out(rest)
+
+    return run
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs (a, b, d) whose ends are in different components, with these."""
     one = label.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
@@ -376,7 +419,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return cut(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    return pack(pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def drop_near_duplicates(documents: DataFrame, text: str = "text", similarity: int = 80) -> DataFrame:

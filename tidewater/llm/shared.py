@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pack(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Like ``cut``, for narrow rows: read back in partitions of about ``rows``, so that few rows make few files."""
+    kept = cut(df)
+    return kept.coalesce(kept.count() // rows + 1)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
