@@ -169,10 +169,17 @@ def near_duplicates(documents: DataFrame, text: str = "text", similarity: int =
     classes = cut(rows.where("n > 0").groupBy("cid", "n", "b").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")))
     parity = seen.where("not shingle and n > 0").select(F.col("a").alias("cid"), "n", "parity")
 
-    # Only one copy of a class has to give its set; a filter lets others through now and then.
-    copied = classes.where("copies > 1 and first_doc is not null")
-    copied_words = _filter(copied.select("cid"))
-    first_words = _filter(copied.select("cid", "first_doc").mapInArrow(_pair_keys, "k long"))
+    # Only one copy of a class has to give its set. A class that the first filter takes for a copied one is in
+    # the second by its own row, so that false positives let others through and keep none out.
+    copied_words = _filter(classes.where("copies > 1 and first_doc is not null").select("cid"))
+    copied = spark.sparkContext.broadcast(copied_words)
+
+    def taken_for_copied(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_wanted(batch.column(0).to_numpy(zero_copy_only=False), copied.value)))
+
+    firsts = classes.where("first_doc is not null").select("cid", "first_doc").mapInArrow(taken_for_copied, "cid long, first_doc long")
+    first_words = _filter(firsts.mapInArrow(_pair_keys, "k long"))
     shared = spark.sparkContext.broadcast((frequent, rank, mask, copied_words, first_words))
 
     def giving(part, sets):
