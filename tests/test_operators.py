@@ -15,6 +15,23 @@ def test_closure_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_laplacian_rls_scores_every_vector(spark, tmp_path):
+    from tidewater.operators.learning import laplacian_rls
+
+    rows = [(i, [float(i * 7 % 10 >= 5) * 8 + i % 13 / 13, i % 11 / 11], i * 7 % 10) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = laplacian_rls(spark, str(tmp_path)).collect()
+    assert sorted(r["vec_id"] for r in found) == list(range(1200))
+    assert all((r["score"] > 0) == (r["vec_id"] * 7 % 10 >= 5) for r in found)
+
+
+def test_laplacian_rls_without_labels(spark, tmp_path):
+    from tidewater.operators.learning import laplacian_rls
+
+    spark.createDataFrame([(1, [1.0, 2.0], 7), (3, [1.0, 2.0], 2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(map(tuple, laplacian_rls(spark, str(tmp_path)).collect())) == [(1, 0.0), (3, 0.0)]
+
+
 def test_rest_imports_without_the_llm_subpackage():
     import subprocess
     import sys
