@@ -89,6 +89,13 @@ def test_one_of_each_component_stays(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
 
 
+def test_null_ids_stay_once_and_only_without_links(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z a1 b1 c1 d1 e1 f1"
+    rows = [(1, near), (None, near), (None, near + " g1"), (None, "alone here"), (None, "alone here"), (None, near.upper().replace("A", "Q")), (None, None), (None, ""), (None, "")]
+    out = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, near), (None, "alone here"), (None, near.upper().replace("A", "Q")), (None, None), (None, ""), (None, "")], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 130)] + [(7, 7)]
     found = {r["id"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}

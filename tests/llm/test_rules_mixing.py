@@ -69,3 +69,15 @@ def test_mixed_documents_repeat(spark):
     df = spark.createDataFrame([(1, "a b", "x", 1), (2, "c d " * 20, "y", 2), (3, None, "y", 3)], "doc_id long, text string, source string, position int")
     out = mixing.mixed_documents(df).collect()
     assert sorted(r["doc_id"] for r in out).count(1) == 3 and all(r["text"] for r in out)
+
+
+def test_mixed_documents_keep_null_ids(spark):
+    rows = [(1, "a b", "x"), (None, "e f g", "x"), (None, "e f g", "x"), (None, "h " * 30, None), (2, "c d " * 20, "y"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(df).collect()
+    want = sum(r["repeats"] for r in plan)
+    out = mixing.mixed_documents(df).collect()
+    assert len(out) == want
+    for source in ("x", "y", None):
+        assert sum(r["doc_id"] is None and r["source"] == source for r in out) == sum(r["repeats"] for r in plan if r["doc_id"] is None and r["source"] == source)
+    assert any(r["doc_id"] is None for r in out)

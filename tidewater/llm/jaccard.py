@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewater.llm.shared import BLOOM_WORDS, components, cut, in_bloom, pack
 from tidewater.llm.text import U64, column_bytes, mix, shingle_hashes, slices, word_hashes
@@ -129,6 +130,16 @@ def near_duplicates(documents: DataFrame, text: str = "text", similarity: int =
     texts have an empty set and link with nothing, equal ones neither; a null doc_id is not counted as
     a component's smallest id. Repeated rows give repeated results. Long texts are worked on whole.
     """
+    return _by_row(*_classes(documents, text, similarity))
+
+
+def _by_row(rows: DataFrame, of: DataFrame) -> DataFrame:
+    out = rows.join(of, (F.col("cid") == F.col("c")) & (F.col("n") == F.col("m")) & (F.col("b") == F.col("f")), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(documents: DataFrame, text: str, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, n, cid, b), and every class's (c, m, f, component, component_id): the same three, and where it belongs."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -232,9 +243,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", similarity: int =
     joined = components(links)
     of = classes.join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = of.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of = of.join(named, "component").select(F.col("cid").alias("c"), F.col("n").alias("m"), F.col("b").alias("f"), "component_id")
-    out = rows.join(of, (F.col("cid") == F.col("c")) & (F.col("n") == F.col("m")) & (F.col("b") == F.col("f")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = of.join(named, "component").select(F.col("cid").alias("c"), F.col("n").alias("m"), F.col("b").alias("f"), "component", "component_id")
+    return rows, of
 
 
 def _pair_keys(batches):
@@ -432,14 +442,25 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def drop_near_duplicates(documents: DataFrame, text: str = "text", similarity: int = 80) -> DataFrame:
     """The documents with one row left of each component, that of its smallest doc_id; columns kept.
 
-    Of repeated rows one stays. Documents with a null doc_id stay unless they link with others.
+    Of repeated rows one stays. Documents with a null doc_id stay unless they link with or equal others: of
+    a component without ids one row stays, and all without words.
     """
-    found = near_duplicates(documents.select("doc_id", text), text, similarity)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
+    rows, of = _classes(documents.select("doc_id", text), text, similarity)
+    keep = _by_row(rows, of).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id_")).distinct()
     out = documents.join(keep, documents["doc_id"] == F.col("kept_id_"), "left_semi")
     out = out.dropDuplicates(["doc_id"])
-    lone = documents.where(F.col("doc_id").isNull())
-    return out.union(lone).select(*documents.columns)
+
+    def named(batches):
+        for part, sets in _sets(batches, "text"):
+            prints = [_fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1))], names=["row", "n", "cid", "b"])
+
+    kind = StructType([StructField("row", documents.schema), *(StructField(c, LongType()) for c in ("n", "cid", "b"))])
+    lone = documents.where(F.col("doc_id").isNull()).select(F.struct(*documents.columns).alias("row"), F.col(text).alias("text")).mapInArrow(named, kind)
+    empty = lone.where("n = 0").select("row.*")
+    lone = lone.join(of, (F.col("cid") == F.col("c")) & (F.col("n") == F.col("m")) & (F.col("b") == F.col("f")))
+    lone = lone.where("component_id is null").dropDuplicates(["component"]).select("row.*")
+    return out.union(lone).union(empty).select(*documents.columns)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
