@@ -41,6 +41,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(name: str, taken) -> str:
+    """A column name that none of ``taken`` has, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through the file system that Spark uses for it."""
     jvm = spark.sparkContext._jvm
