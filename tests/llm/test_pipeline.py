@@ -15,6 +15,21 @@ def test_stages_in_order(spark):
     assert corpus_pipeline.run(spark, sf).count() == sizes[3]
 
 
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good, "en", "a"), (2, good + " more", "en", "a"), (1, good, "en", "a"), (None, good.replace("5", "6"), None, "a"), (3, None, None, "b"), (4, "", None, None), (5, " ".join(f"long{i}" for i in range(90_000)), "de", None), (6, "x" * 300_000, "de", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS words", "2 AS row", "3 AS kept", "4 AS mix_key", "5 AS component_id")
+    for docs, want in ((df, {1, None, 5}), (df.limit(0), set())):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == df.columns, name
+            docs = docs.checkpoint()
+        assert {r["doc_id"] for r in docs.collect()} == want
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
 def test_queries_are_registered():
     from tidewater.llm import registry
 

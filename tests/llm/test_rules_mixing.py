@@ -31,7 +31,7 @@ def test_signals_match_sql(spark, monkeypatch, bits):
 
 
 def test_filter_keeps_columns_and_agrees(spark):
-    df = documents(spark)
+    df = documents(spark).withColumnsRenamed({"size": "kept", "source": "row"})
     kept = sorted(r["doc_id"] for r in rules.quality_signals(df).where("kept").collect())
     out = rules.quality_filter(df)
     assert out.columns == df.columns
@@ -81,3 +81,15 @@ def test_mixed_documents_keep_null_ids(spark):
     for source in ("x", "y", None):
         assert sum(r["doc_id"] is None and r["source"] == source for r in out) == sum(r["repeats"] for r in plan if r["doc_id"] is None and r["source"] == source)
     assert any(r["doc_id"] is None for r in out)
+
+
+def test_mixed_documents_keep_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b", "x", 5)] * 2 + [(2, "c d " * 20, "y", 6), (3, "", "y", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key int").selectExpr("*", "1 AS mix_place", "2 AS mix_position", "3 AS carry_0", "4 AS position", "5 AS row")
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    plan = mixing.mix(df).collect()
+    found = [r["doc_id"] for r in out.collect()]
+    for doc in (1, 2, 3):
+        assert found.count(doc) == sum(r["repeats"] for r in plan if r["doc_id"] == doc)
+    assert found.count(1) > 2
