@@ -57,12 +57,53 @@ def test_language_model_probabilities_sum_to_one():
     v = language_model.Vocabulary(np.arange(1, 3000, dtype=np.uint64) * np.uint64(77777777777), np.arange(3000, 1, -1), 5_000_000, 9000)
     m = language_model.Model(v)
     rows, keys = language_model._contexts(np.array([5, 6, 7], np.uint64), np.array([0, 3]))
-    ids = np.arange(language_model.VOCABULARY + 1)
+    m.load(np.random.default_rng(1).normal(size=len(m.weights())).astype(np.float32))
+    place = np.arange(-1, 2999)
     for k in range(3):
-        p = 10 ** m.log10_probability(np.repeat(rows[:, k : k + 1], len(ids), 1), np.repeat(keys[:, k : k + 1], len(ids), 1), ids)
+        p = 10 ** m.log10_probability(np.repeat(rows[:, k : k + 1], len(place), 1), np.repeat(keys[:, k : k + 1], len(place), 1), place)
         assert abs(p.sum() - 1) < 1e-3
 
 
+def test_language_model_scores_match_a_slow_reading():
+    """Every factor of a few tokens, computed one by one from the definition."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    hashes, counts = r.integers(1, 2**63, 500, dtype=np.uint64), r.integers(1, 4000, 500)
+    v = language_model.Vocabulary(hashes, counts, int(counts.sum()) + 100, 600)
+    m = language_model.Model(v)
+    m.load(r.normal(size=len(m.weights())).astype(np.float32))
+    h = np.concatenate((r.choice(hashes, 30), r.integers(1, 2**63, 3, dtype=np.uint64), [language_model.END]))
+    rows, keys = language_model._contexts(h, np.array([0, len(h)]))
+    place = v.find(h)[0]
+    order = sorted(range(500), key=lambda i: (-counts[i], hashes[i]))
+    total, before, klass = counts.sum(), 0, []
+    for i in order:
+        klass.append(min(31, int(32 * (before + counts[i] / 2) / total)))
+        before += counts[i]
+    for t in range(len(h)):
+        own = [order.index(i) for i in range(500) if hashes[i] == h[t]]
+        logits = [v.class_bias[c] + sum(m.classes[rows[f, t], c] for f in range(3)) for c in range(33)]
+        c = klass[own[0]] if own else 32
+        want = logits[c] - math.log(sum(math.exp(x) for x in logits))
+        if own:
+            members = [p for p in range(500) if klass[p] == c]
+            spot, low, node, width = members.index(own[0]), 0, 1, 1 << max(0, len(members) - 1).bit_length()
+            while width > 1:
+                width //= 2
+                right = spot >= low + width
+                weigh = lambda a: sum(counts[order[members[q]]] + 0.5 for q in range(a, min(a + width, len(members))))  # noqa: B023, E731
+                x = math.log(weigh(low + width) / weigh(low)) if weigh(low + width) else -60.0
+                place_ = int(v.base[c]) + node
+                for f in range(3):
+                    salted = (int(keys[f, t]) ^ place_ * 0xD1342543DE82EF95 % 2**64) * 0x9E3779B97F4A7C15 % 2**64
+                    x += float(m.halves[salted >> (64 - language_model.BITS)])
+                want += -math.log1p(math.exp(-x if right else x))
+                low, node = low + width * right, 2 * node + right
+        got = m.log10_probability(rows[:, t : t + 1], keys[:, t : t + 1], place[t : t + 1])[0]
+        assert abs(got - want / math.log(10)) < 1e-4
+
+
 def test_language_model_without_training(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert language_model.score_documents(docs).count() == 0

@@ -2,20 +2,24 @@
 
 The model gives each next token P(class | context) * P(token | class, context). Both factors are
 log-linear in hashed features of the context: the word before (n-gram), the one before that (skip)
-and the pair. The VOCABULARY most frequent tokens are predicted one by one; all others form a class,
-within which a token is as likely as its smoothed count says, so that the probabilities of all tokens
-sum to one.
+and the pair. All words on the frequent list (those with a share of 1 / ``listed`` of all tokens or
+more) are predicted one by one. By falling count they fall into CLASSES of equal mass; a class's words
+are told apart by factoring it in halves, again and again, so that a word costs as many factors as its
+class has doublings. All rarer words form one more class, within which a token is as likely as its
+smoothed count says. The probabilities of all tokens sum to one.
 
 Counts cover all training documents. Training reads each of them once: tasks make gradient updates
-on their own tokens, and the models of all tasks are averaged by tokens after each round, of which
-the first reads a quarter of the documents and the second the rest. Model and frequent-word list have
-fixed bounds; counts of rarer words are joined, never gathered.
+on their own tokens, and the changes of all tasks, averaged by tokens, are added after each round, of
+which the first reads a quarter of the documents and the second the rest. The changes are summed in
+a tree of FAN_IN, shard by shard. Word list and weights have sizes given as parameters; counts of rarer
+words are joined, never gathered.
+
+Tasks learn from their own share of the table, in seeded order. Reruns over the same files and settings
+give the same scores; another split of the table gives slightly different weights.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +30,12 @@ from tidewater.llm.text import U64, column_bytes, mix, slices, word_hashes
 
 #: Words whose counts every task gets: those with a share of 1 / FREQUENT of all tokens, so at most as many.
 FREQUENT = 1 << 20
-CLASSES, MEMBERS = 32, 32
-VOCABULARY = CLASSES * MEMBERS
-ROWS = 1 << 14
+#: Classes of listed words, besides that of all others.
+CLASSES = 32
+#: Rows of the class factor's weights, one for each hashed feature, and weights of all halvings together.
+ROWS, BITS = 1 << 14, 20
+#: Changes summed at once, and the parts in which weights are summed.
+FAN_IN, SHARDS = 16, 8
 #: Tokens gathered by a task before it sends their counts.
 GATHER = 1 << 22
 BATCH = 1 << 14
@@ -69,103 +76,117 @@ def _contexts(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Vocabulary:
-    """Frequent words with their counts, the most frequent first; the first VOCABULARY have ids."""
+    """Listed words with their counts, their classes, and their numbers in their classes."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.lexsort((hashes, -counts))
         hashes, counts = hashes[order], counts[order]
         self.total, self.distinct = total, distinct
-        self.top = counts[:VOCABULARY].astype(np.float64)
+        mass = np.cumsum(counts, dtype=np.float64)
+        self.klass = np.minimum(CLASSES - 1, CLASSES * (mass - counts / 2) / max(1.0, mass[-1] if len(mass) else 1.0)).astype(np.int32)
+        start = np.searchsorted(self.klass, np.arange(CLASSES + 1))
+        size = np.diff(start)
+        self.number = (np.arange(len(hashes)) - start[self.klass]).astype(np.int32)
+        depth = np.array([max(0, int(n) - 1).bit_length() for n in size], np.int32)
+        # the halvings of a class are a heap: its first has the place of its class, plus 1
+        self.base = np.concatenate(([0], np.cumsum(1 << depth)))
+        self.depth = depth[self.klass]
+        self.bias = np.zeros(int(self.base[-1]) + 1, np.float32)
+        for k in np.flatnonzero(depth):
+            level = np.zeros(1 << depth[k])
+            level[: size[k]] = counts[start[k] : start[k + 1]] + 0.5
+            while len(level) > 1:
+                left, right = level[::2], level[1::2]
+                held = np.where(right > 0, np.log(np.maximum(right, 1e-30) / np.maximum(left, 1e-30)), -60.0)
+                self.bias[self.base[k] + len(left) : self.base[k] + 2 * len(left)] = np.clip(held, -60.0, 60.0)
+                level = left + right
+        of_class = np.bincount(self.klass, weights=counts, minlength=CLASSES)
+        of_class = np.concatenate((of_class, [max(0.0, total - of_class.sum())])) + 0.5
+        self.class_bias = np.log(of_class / of_class.sum()).astype(np.float32)
+        self.class_bias[:CLASSES][size == 0] = -60.0  # never asked for
         sort = np.argsort(hashes)
-        self.sorted, self.counts, self.rank = hashes[sort], counts[sort], np.minimum(sort, VOCABULARY).astype(np.int32)
-        self.small = np.full(1 << 16, VOCABULARY, np.int32)
-        self.keys = np.zeros(1 << 16, U64)
-        first = np.arange(min(len(hashes), VOCABULARY))
-        for i in first[::-1]:
-            slot = int(hashes[i] & U64(0xFFFF))
-            self.small[slot], self.keys[slot] = i, hashes[i]
-        clash = [i for i in first if self.small[int(hashes[i] & U64(0xFFFF))] != i]
-        self.clash = {int(hashes[i]): i for i in clash}
-        rest = max(0.0, total + distinct + 1 - (self.top + 1).sum())
+        self.sorted, self.counts, self.place = hashes[sort], counts[sort], sort.astype(np.int32)
+        rest = max(0.0, total + distinct + 1 - float((counts + 1).sum()))
         self.log_rest = float(np.log10(max(rest, 1.0)))
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Vocabulary ids, VOCABULARY for other tokens."""
-        slot = (h & U64(0xFFFF)).astype(np.int64)
-        out = np.where(self.keys[slot] == h, self.small[slot], VOCABULARY)
-        for key, i in self.clash.items():
-            out[h == U64(key)] = i
-        return out
-
-    def known(self, h: np.ndarray) -> np.ndarray:
-        """Counts of distinct hashes, -1 for those that are not on the list."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places on the list and counts of distinct hashes, -1 for those that are not on it."""
         if not len(self.sorted):
-            return np.full(len(h), -1, np.int64)
+            return np.full(len(h), -1, np.int32), np.full(len(h), -1, np.int64)
         spot = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[spot] == h, self.counts[spot], -1)
+        hit = self.sorted[spot] == h
+        return np.where(hit, self.place[spot], np.int32(-1)), np.where(hit, self.counts[spot], -1)
 
 
 class Model:
+    """Weights of both factors. A token is given by its place on the list, -1 if it is not on it."""
+
     def __init__(self, vocabulary: Vocabulary):
-        top = np.zeros(VOCABULARY)
-        top[: len(vocabulary.top)] = vocabulary.top
-        by_class = top.reshape(CLASSES, MEMBERS)
-        others = max(0.0, vocabulary.total - top.sum())
-        of_class = np.concatenate((by_class.sum(axis=1), [others])) + 0.5
-        self.class_bias = np.log(of_class / of_class.sum()).astype(np.float32)
-        real = np.arange(VOCABULARY).reshape(CLASSES, MEMBERS) < len(vocabulary.top)
-        share = (by_class + 0.5) * real
-        self.word_bias = np.where(real, np.log(np.maximum(share, 1e-30) / np.maximum(share.sum(axis=1, keepdims=True), 1e-30)), -60.0).astype(np.float32)
-        # classes without words are never asked for
-        self.class_bias[:CLASSES][~real.any(axis=1)] = -60.0
+        self.v = vocabulary
         self.classes = np.zeros((ROWS, CLASSES + 1), np.float32)
-        self.words = np.zeros((ROWS, MEMBERS), np.float32)
+        self.halves = np.zeros(1 << BITS, np.float32)
 
     def weights(self) -> np.ndarray:
-        return np.concatenate((self.classes.ravel(), self.words.ravel()))
+        return np.concatenate((self.classes.ravel(), self.halves))
 
     def load(self, flat: np.ndarray) -> None:
-        cut_ = ROWS * (CLASSES + 1)
-        self.classes, self.words = flat[:cut_].reshape(ROWS, CLASSES + 1).copy(), flat[cut_:].reshape(ROWS, MEMBERS).copy()
+        cut_ = self.classes.size
+        self.classes, self.halves = flat[:cut_].reshape(self.classes.shape).copy(), flat[cut_:].copy()
 
-    @staticmethod
-    def word_rows(keys: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        salted = mix(keys ^ (klass.astype(U64) << U64(57)) ^ klass.astype(U64))
-        return np.stack([a + (k >> U64(40)).astype(np.int64) % size for k, (a, size) in zip(salted, _TABLES)])
-
-    def _softmax(self, table, rows, bias):
-        x = table[rows[0]]
-        x += table[rows[1]]
-        x += table[rows[2]]
-        x += bias
+    def _klass(self, place: np.ndarray) -> np.ndarray:
+        return np.where(place >= 0, self.v.klass[place], CLASSES) if len(self.v.klass) else np.full(len(place), CLASSES)
+
+    def _softmax(self, rows) -> np.ndarray:
+        x = self.classes[rows[0]]
+        x += self.classes[rows[1]]
+        x += self.classes[rows[2]]
+        x += self.v.class_bias
         x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
         x /= x.sum(axis=1, keepdims=True)
         return x
 
-    def log10_probability(self, rows, keys, ids) -> np.ndarray:
-        """Per token; of tokens beyond the vocabulary only that of their class."""
-        klass, n = ids // MEMBERS, len(ids)
-        p = self._softmax(self.classes, rows, self.class_bias)
-        out = np.log10(np.maximum(p[np.arange(n), klass], 1e-30))
-        inside = np.flatnonzero(ids < VOCABULARY)
-        k = klass[inside]
-        p = self._softmax(self.words, self.word_rows(keys[:, inside], k), self.word_bias[k])
-        out[inside] += np.log10(np.maximum(p[np.arange(len(inside)), ids[inside] % MEMBERS], 1e-30))
-        return out.astype(np.float64)
-
-    def update(self, rows, keys, ids, seen) -> None:
+    def _halvings(self, keys, place):
+        """For every halving on the way to every listed token: the token, the side taken, the weights asked and their sum."""
+        v = self.v
+        listed = np.flatnonzero(place >= 0)
+        if not len(listed):
+            nothing = np.zeros(0, np.int64)
+            return nothing, nothing, np.zeros((3, 0), np.int64), np.zeros(0, np.float32)
+        depth = v.depth[place[listed]]
+        token = np.repeat(listed, depth)
+        left = np.repeat(np.cumsum(depth), depth) - np.arange(len(token)) - 1  # halvings still to come after this one
+        at = place[token]
+        whole = (np.int64(1) << v.depth[at].astype(np.int64)) + v.number[at]
+        node = v.base[v.klass[at]] + (whole >> (left + 1))
+        side = (whole >> left) & 1
+        salt = node.astype(U64) * U64(0xD1342543DE82EF95)
+        spots = (((keys[:, token] ^ salt) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int64)
+        x = v.bias[node] + self.halves[spots[0]] + self.halves[spots[1]] + self.halves[spots[2]]
+        return token, side, spots, x
+
+    def log10_probability(self, rows, keys, place) -> np.ndarray:
+        """Per token; of tokens that are not listed only that of their class."""
+        n = len(place)
+        p = self._softmax(rows)
+        out = np.log(np.maximum(p[np.arange(n), self._klass(place)], 1e-30)).astype(np.float64)
+        token, side, _, x = self._halvings(keys, place)
+        out -= np.bincount(token, weights=np.logaddexp(0, np.where(side == 1, -x, x)), minlength=n)
+        return out / np.log(10)
+
+    def update(self, rows, keys, place, seen) -> None:
         """One gradient step on a batch, with a rate for each weight that falls as it is updated."""
-        klass, n = ids // MEMBERS, len(ids)
-        g = self._softmax(self.classes, rows, self.class_bias)
-        g[np.arange(n), klass] -= 1
+        g = self._softmax(rows)
+        g[np.arange(len(place)), self._klass(place)] -= 1
         self._apply(self.classes, seen[0], rows, g)
-        inside = np.flatnonzero(ids < VOCABULARY)
-        k = klass[inside]
-        at = self.word_rows(keys[:, inside], k)
-        g = self._softmax(self.words, at, self.word_bias[k])
-        g[np.arange(len(inside)), ids[inside] % MEMBERS] -= 1
-        self._apply(self.words, seen[1], at, g)
+        _, side, spots, x = self._halvings(keys, place)
+        g = 1 / (1 + np.exp(-np.clip(x, -60, 60))) - side
+        total = np.bincount(spots.ravel(), weights=np.tile(g, 3), minlength=len(self.halves)).astype(np.float32)
+        squares = seen[1]
+        squares += total * total
+        total *= RATE
+        total /= np.sqrt(squares + 1.0)
+        self.halves -= total
 
     @staticmethod
     def _apply(table, seen, rows, g) -> None:
@@ -211,48 +232,61 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: tuple[tuple[int, int], ...] = ((0, 1), (1, 4))) -> np.ndarray:
     """Averaged weights. texts: (text, part 0 to 3); ``rounds`` are ranges of parts.
 
-    Each task sends its change of the weights, times its tokens, as one row of fixed size. These are
-    summed in about as many tasks as the square root of their number, and then in one; the driver gets
-    a single row.
+    Each task sends its change of the weights, times its tokens, in SHARDS rows of fixed size. FAN_IN
+    tasks' rows are summed at a time, shard by shard, until one row of each shard is left for the driver.
     """
-    adders = max(1, math.isqrt(texts.rdd.getNumPartitions()))
     sc = texts.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
     flat = Model(vocabulary).weights()
+    names, schema = ["slot", "shard", "n", "change"], "slot long, shard int, n long, change binary"
+
+    def row(slot, shard, n, change):
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], names=names)
+
     for low, high in rounds:
         start = sc.broadcast(flat)
 
         def learn(batches):
+            from pyspark import TaskContext
+
             model = Model(words.value)
             model.load(start.value)
-            seen = np.zeros_like(model.classes), np.zeros_like(model.words)
+            seen = np.zeros_like(model.classes), np.zeros_like(model.halves)
             n = 0
             for part, h, offsets in _parts(batches, 0, "text"):
                 rows, keys = _contexts(h, offsets)
-                ids = words.value.ids(h)
+                distinct, back = np.unique(h, return_inverse=True)
+                place = words.value.find(distinct)[0][back]
                 order = np.random.default_rng(len(h)).permutation(len(h))
                 for i in range(0, len(h), BATCH):
                     at = order[i : i + BATCH]
-                    model.update(rows[:, at], keys[:, at], ids[at], seen)
+                    model.update(rows[:, at], keys[:, at], place[at], seen)
                 n += len(h)
             if n:
-                change = ((model.weights() - start.value) * np.float32(n)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([change.tobytes()], pa.binary())], names=["n", "change"])
+                change = (model.weights() - start.value) * np.float32(n)
+                for shard, piece in enumerate(np.array_split(change, SHARDS)):
+                    yield row(TaskContext.get().partitionId(), shard, n, piece)
 
         def add(batches):
-            n, total = 0, None
+            sums: dict = {}
             for batch in batches:
                 for i in range(batch.num_rows):
-                    change = np.frombuffer(batch.column(1)[i].as_buffer(), np.float32)
-                    n, total = n + batch.column(0)[i].as_py(), change.astype(np.float64) if total is None else total + change
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["n", "change"])
+                    slot, shard, n = (batch.column(k)[i].as_py() for k in range(3))
+                    change = np.frombuffer(batch.column(3)[i].as_buffer(), np.float32)
+                    before = sums.get((slot, shard))
+                    sums[slot, shard] = (n, change.astype(np.float64)) if before is None else (before[0] + n, before[1] + change)
+            for (slot, shard), (n, change) in sums.items():
+                yield row(slot, shard, n, change)
 
         part = texts.where((F.col("part") >= low) & (F.col("part") < high)).select("text")
-        schema = "n long, change binary"
-        changes = part.mapInArrow(learn, schema).repartition(adders).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema)
-        for row in changes.collect():
-            flat = (flat + np.frombuffer(row["change"], np.float32) / row["n"]).astype(np.float32)
+        changes, slots = part.mapInArrow(learn, schema), part.rdd.getNumPartitions()
+        while slots > 1:
+            slots = -(-slots // FAN_IN)
+            changes = changes.withColumn("slot", F.expr(f"slot div {FAN_IN}")).repartition(slots * SHARDS, "slot", "shard").mapInArrow(add, schema)
+        pieces = np.array_split(flat, SHARDS)
+        for r in changes.collect():
+            pieces[r["shard"]] = pieces[r["shard"]] + np.frombuffer(r["change"], np.float32) / np.float32(r["n"])
+        flat = np.concatenate(pieces).astype(np.float32)
         start.unpersist()
     words.unpersist()
     return flat
@@ -263,19 +297,22 @@ def held_out(folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def score_documents(documents: DataFrame, text: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, text: str = "text", listed: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     A null or empty text is one END. Documents that are not held out, null ids among them, are learnt
     from; repeated rows are learnt from and scored as often. Without any, no token is known and the
-    model is the base. Scores are log10 probabilities.
+    model is the base. Scores are log10 probabilities. ``listed`` (FREQUENT) bounds the words that are
+    predicted one by one, and so what every task holds; the size of the weights is set by ROWS and BITS.
+    Other columns are not read, whatever their names.
     """
+    listed = listed or FREQUENT
     sc = documents.sparkSession.sparkContext
     docs = documents.select("doc_id", F.col(text).alias("text"), held_out().alias("held_out"))
     training = docs.where(~F.col("held_out"))
     counts = cut(count_tokens(training.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("c") >= max(1, -(-total // FREQUENT))).toArrow()
+    frequent = counts.where(F.col("c") >= max(1, -(-total // listed))).toArrow()
     vocabulary = Vocabulary(frequent.column("h").to_numpy().view(U64), frequent.column("c").to_numpy(), total, distinct)
     split = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(4))
     flat = train(training.select("text", split.alias("part")), vocabulary)
@@ -292,12 +329,12 @@ def score_documents(documents: DataFrame, text: str = "text") -> DataFrame:
             n = part.num_rows
             doc = np.repeat(np.arange(n), np.diff(offsets))
             rows, keys = _contexts(h, offsets)
-            ids = v.ids(h)
-            likely = np.concatenate([model.log10_probability(rows[:, i : i + BATCH], keys[:, i : i + BATCH], ids[i : i + BATCH]) for i in range(0, len(h), BATCH)])
             distinct_h, back = np.unique(h, return_inverse=True)
-            count = v.known(distinct_h)
+            place, count = v.find(distinct_h)
+            place = place[back]
+            likely = np.concatenate([model.log10_probability(rows[:, i : i + BATCH], keys[:, i : i + BATCH], place[i : i + BATCH]) for i in range(0, len(h), BATCH)])
             log = np.log10(np.maximum(count, 0) + 1.0)[back]
-            other = ids >= VOCABULARY
+            other = place < 0
             known = (count > 0)[back]
             uid = part.column(1).to_numpy()
             # what is not on the list is looked up by a join: log10(c + 1) is added there
