@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewater.plans.query import Book, table
@@ -38,7 +39,7 @@ _per_document("tokens_b", r"filter(split(lower(regexp_replace(regexp_replace(tex
 _per_document("tokens_c", r"filter(split(lower(regexp_replace(regexp_replace(text, '<[^<]+?>', ' '), '(?U)[^\\w\\-+&.\'\":]', ' ')), ' +'), x -> x <> '' and x not in ('the', 'a', 'an', 'of'))")
 _per_document("tokens_e", r"filter(split(lower(regexp_replace(regexp_replace(text, '<[^<]+?>', ' '), '(?U)[^\\w\\-]', ' ')), ' +'), x -> x <> '')")
 _per_document("tokens_f", r"filter(split(lower(regexp_replace(text, '(?U)[^\\w\']', ' ')), ' +'), x -> x <> '')", "conversations", "conv_id, turn")
-sql("tokens_g", r"SELECT doc_id, array_join(regexp_extract_all(text, '(?<![a-zA-Z0-9_])[a-zA-Z]{3,}(?![a-zA-Z0-9_])', 0), ' ') AS toks FROM documents WHERE lang = 'en'", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\b[a-zA-Z]{3,}\b'), ' ') AS toks FROM documents WHERE lang = 'en'")
+sql("tokens_g", r"SELECT doc_id, array_join(regexp_extract_all(text, '(?<![a-zA-Z0-9_])[a-zA-Z]{3,}(?![a-zA-Z0-9_])', 0), ' ') AS toks FROM documents", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\b[a-zA-Z]{3,}\b'), ' ') AS toks FROM documents")
 sql("tokens_h", r"SELECT doc_id, array_join(filter(split(lower(text), '[ \\r\\n\\t`!@#$%^&*()_+={}|:;<>,.?/~\"\\[\\]-]'), x -> x <> '' AND x NOT IN ('the', 'of', 'and', 'a')), ' ') AS toks FROM documents",
     r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[ \r\n\t`!@#$%^&*()_+={}|:;<>,.?/~" + r'"' + r"\[\]-]'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and', 'a')), ' ') AS toks FROM documents")
 sql("sanitize", r"SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(html, '<[^<]+?>', ' ')), '[^a-z0-9. ]', ' '), ' +', ' ')) AS txt FROM pages", r"SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(html, '<[^<]+?>', ' ', 'g')), '[^a-z0-9. ]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS txt FROM pages")
@@ -51,7 +52,7 @@ sql("ngrams_char", "SELECT p_partkey, array_join(transform(sequence(1, length(p_
 sql("skip_grams", "WITH t AS (SELECT p_partkey, i, w FROM part LATERAL VIEW posexplode(split(p_name, ' ')) e AS i, w) SELECT a.p_partkey, a.i AS i, b.i AS j, concat(a.w, b.w) AS gram FROM t a JOIN t b ON a.p_partkey = b.p_partkey AND a.i < b.i",
     "WITH t AS (SELECT p_partkey, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part) z) SELECT a.p_partkey, a.i AS i, b.i AS j, concat(a.w, b.w) AS gram FROM t a JOIN t b ON a.p_partkey = b.p_partkey AND a.i < b.i")
 sql("title_runs", r"SELECT doc_id, array_join(transform(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+', 0), x -> replace(x, ' ', '__')), '|') AS runs FROM documents", r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'), lambda x: replace(x, ' ', '__')), '|') AS runs FROM documents")
-sql("prefixes", "SELECT p_partkey, array_join(transform(sequence(1, length(p_name)), i -> substring(p_name, 1, i)), '|') AS prefixes FROM part", "SELECT p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: substring(p_name, 1, i)), '|') AS prefixes FROM part")
+sql("prefixes", "SELECT p_partkey, array_join(transform(filter(sequence(1, greatest(length(p_name), 1)), i -> i <= length(p_name)), i -> substring(p_name, 1, i)), '|') AS prefixes FROM part", "SELECT p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: substring(p_name, 1, i)), '|') AS prefixes FROM part")
 sql("break_words", "SELECT DISTINCT w, array_join(transform(sequence(3, length(w) - 4), i -> concat(substring(w, 1, i), ' ', substring(w, i + 1))), '|') AS broken FROM part LATERAL VIEW explode(split(p_name, ' ')) e AS w WHERE length(w) >= 7",
     "SELECT DISTINCT w, array_to_string(list_transform(range(3, length(w) - 3), lambda i: concat(substring(w, 1, i), ' ', substring(w, i + 1))), '|') AS broken FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) t WHERE length(w) >= 7")
 sql("levenshtein_pairs", "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS dist FROM n a JOIN n b ON a.p_name < b.p_name AND abs(length(a.p_name) - length(b.p_name)) <= 3", "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS dist FROM n a JOIN n b ON a.p_name < b.p_name AND abs(length(a.p_name) - length(b.p_name)) <= 3")
@@ -103,8 +104,8 @@ def lcs_span(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("a", "b", span("a", "b").alias("span"))
 
 
-sql("word_shape", r"SELECT DISTINCT w, w rlike '^[A-Z][a-z]*$' AS title, w rlike '^[a-z]+$' AS low, w rlike '^[A-Z]+$' AS up, w rlike '^[0-9]+$' AS digit, w rlike '-' AS hyphen FROM documents LATERAL VIEW explode(split(text, ' ')) e AS w WHERE source = 'src1'",
-    r"SELECT DISTINCT w, regexp_matches(w, '^[A-Z][a-z]*$') AS title, regexp_matches(w, '^[a-z]+$') AS low, regexp_matches(w, '^[A-Z]+$') AS up, regexp_matches(w, '^[0-9]+$') AS digit, regexp_matches(w, '-') AS hyphen FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE source = 'src1') t")
+sql("word_shape", r"SELECT DISTINCT w, w rlike '^[A-Z][a-z]*$' AS title, w rlike '^[a-z]+$' AS low, w rlike '^[A-Z]+$' AS up, w rlike '^[0-9]+$' AS digit, w rlike '-' AS hyphen FROM documents LATERAL VIEW explode(split(text, ' ')) e AS w",
+    r"SELECT DISTINCT w, regexp_matches(w, '^[A-Z][a-z]*$') AS title, regexp_matches(w, '^[a-z]+$') AS low, regexp_matches(w, '^[A-Z]+$') AS up, regexp_matches(w, '^[0-9]+$') AS digit, regexp_matches(w, '-') AS hyphen FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) t")
 sql("affixes", "SELECT p_partkey, left(p_name, 1) AS p1, left(p_name, 2) AS p2, left(p_name, 3) AS p3, right(p_name, 1) AS s1, right(p_name, 2) AS s2, right(p_name, 3) AS s3 FROM part")
 sql("intent_token", r"""SELECT conv_id, turn, CASE WHEN q IS NULL THEN 'none' ELSE concat(q, '__', coalesce(try_element_at(w, CAST(array_position(w, q) + 1 AS INT)), '')) END AS intent FROM (SELECT conv_id, turn, w, element_at(filter(w, x -> x IN ('how', 'what', 'who', 'when', 'where', 'why', 'which', 'can', 'is', 'the')), 1) AS q FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+', 0) AS w FROM conversations WHERE role = 'user') t WHERE size(filter(w, x -> x IN ('how', 'what', 'who', 'when', 'where', 'why', 'which', 'can', 'is', 'the'))) > 0) u""",
     r"""SELECT conv_id, turn, concat(q, '__', coalesce(w[list_position(w, q) + 1], '')) AS intent FROM (SELECT conv_id, turn, w, list_filter(w, lambda x: x IN ('how', 'what', 'who', 'when', 'where', 'why', 'which', 'can', 'is', 'the'))[1] AS q FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations WHERE role = 'user') t) u WHERE q IS NOT NULL""")
@@ -113,9 +114,26 @@ sql("intent_token", r"""SELECT conv_id, turn, CASE WHEN q IS NULL THEN 'none' EL
 NUMBER = r"[-+]?[0-9]*[.][0-9]+|[0-9]+"
 rows("last_number", "t", [("from 5 to 15.6 inches",), ("none",), ("up to 32",)], f"try_element_at(regexp_extract_all(t, '{NUMBER}', 0), -1)", ["15.6", None, "32"])
 rows("first_number", "t", [("from 5 to 15.6 inches",), ("none",), ("up to 32",)], f"try_element_at(regexp_extract_all(t, '{NUMBER}', 0), 1)", ["5", None, "32"])
-WORDS = "one two three four five six seven eight nine ten eleven twelve"
-_number_words = "map_from_arrays(split('" + WORDS + " single twin triple', ' '), array(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 1, 2, 3))"
-rows("number_words", "t", [("three light",), ("and network",), ("lamp",), ("twin bulb",)], rf"{_number_words}[nullif(regexp_extract(t, '\\bone|{'|'.join(WORDS.split()[1:])}|single|twin|triple\\b', 0), '')]", [3, 2, None, 2])
+# fixed values: the pattern and the numbers
+WORDS = r"(?i)\bone|two|three|four|five|six|seven|eight|nine|ten|single|eleven|twelve|twin|triple\b"
+NUMBERS = [("one", 1), ("single", 1), ("two", 2), ("twin", 2), ("three", 3), ("triple", 3), ("four", 4), ("five", 5), ("six", 6), ("seven", 7), ("eight", 8), ("nine", 9), ("ten", 10), ("eleven", 11), ("twelve", 12)]
+
+
+def number_words(text: str) -> Column:
+    """The number that most number words of a text name, whatever their case; null without any or with a tie."""
+    named = F.create_map(*[F.lit(x) for pair in NUMBERS for x in pair])
+    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(WORDS), 0), lambda w: named[F.lower(w)])
+    counts = F.transform(F.array_distinct(found), lambda v: F.struct(F.size(F.filter(found, lambda x: x == v)).alias("n"), v.alias("v")))
+    ranked = F.reverse(F.array_sort(counts))
+    clear = (F.size(ranked) == 1) | (F.get(ranked, 0)["n"] > F.get(ranked, 1)["n"])
+    return F.when(clear, F.get(ranked, 0)["v"])
+
+
+@book.plan("number_words", "WITH m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '" + WORDS + "'))) AS w FROM documents), c AS (SELECT doc_id, CASE w " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in NUMBERS) + " END AS v, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM c) SELECT d.doc_id, CAST(b.v AS INT) AS result FROM documents d LEFT JOIN (SELECT doc_id, min(v) AS v FROM r WHERE r = 1 GROUP BY doc_id HAVING count(*) = 1) b ON b.doc_id = d.doc_id")
+def number_words_of_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", number_words("text").alias("result"))
+
+
 rows("light_counts", "t", [("3 lights with 0 bulbs",), ("5-light fixture",), ("2x 40 W",), ("no count",)], r"array_join(filter(regexp_extract_all(lower(t), '([0-9]+)[ -]*(?:lights?|bulbs?|x\\b|led)', 1), x -> cast(x as int) > 0), ',')", ["3", "5", "2", ""])
 rows("seating_capacity", "t", [("Loveseat sofa",), ("Tub chair",), ("seats 4 people",), ("bean bag",), ("table",)], "CASE WHEN regexp_extract(lower(t), 'seats? ([0-9]+)', 1) <> '' THEN cast(regexp_extract(lower(t), 'seats? ([0-9]+)', 1) as int) WHEN lower(t) LIKE '%loveseat%' THEN 2 WHEN lower(t) rlike 'chair|tub|bean bag' THEN 1 END", [2, 1, 4, 1, None])
 _feet = r"(?i)^([0-9]+)\' *([0-9]+)?\"? x ([0-9]+)\' *([0-9]+)?\"?$"
@@ -143,7 +161,7 @@ sql("hash_keys", "SELECT c_custkey, sha2(c_name, 256) AS s, md5(c_name) AS m FRO
 sql("pad_tokens", "SELECT doc_id, array_join(slice(concat(w, array_repeat('PAD_TXT', 20)), 1, 20), ' ') AS toks FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+', 0) AS w FROM documents) t", "SELECT doc_id, array_to_string(list_concat(w, list_transform(range(20), lambda i: 'PAD_TXT'))[1:20], ' ') AS toks FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) t")
 sql("word_index", "WITH t AS (SELECT p_partkey, i, w FROM part LATERAL VIEW posexplode(split(p_name, ' ')) e AS i, w), d AS (SELECT w, dense_rank() OVER (ORDER BY w) AS k FROM (SELECT DISTINCT w FROM t WHERE p_partkey % 2 = 0) x) SELECT t.p_partkey, t.i, coalesce(d.k, 0) AS k FROM t LEFT JOIN d ON t.w = d.w",
     "WITH t AS (SELECT p_partkey, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part) z), d AS (SELECT w, dense_rank() OVER (ORDER BY w) AS k FROM (SELECT DISTINCT w FROM t WHERE p_partkey % 2 = 0) x) SELECT t.p_partkey, t.i, coalesce(d.k, 0) AS k FROM t LEFT JOIN d ON t.w = d.w")
-sql("deletion_instances", "SELECT DISTINCT w, i, concat(substring(w, 1, i - 1), substring(w, i + 1)) AS rest, substring(w, i, 1) AS gone FROM (SELECT w, explode(sequence(1, length(w))) AS i FROM part LATERAL VIEW explode(split(p_name, ' ')) e AS w) t",
+sql("deletion_instances", "SELECT DISTINCT w, i, concat(substring(w, 1, i - 1), substring(w, i + 1)) AS rest, substring(w, i, 1) AS gone FROM (SELECT w, explode(filter(sequence(1, greatest(length(w), 1)), i -> i <= length(w))) AS i FROM part LATERAL VIEW explode(split(p_name, ' ')) e AS w) t",
     "SELECT DISTINCT w, i, concat(substring(w, 1, i - 1), substring(w, i + 1)) AS rest, substring(w, i, 1) AS gone FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) z) t")
 sql("group_anagrams", "SELECT k, array_join(sort_array(collect_set(w)), ',') AS words FROM (SELECT w, array_join(array_sort(split(w, '')), '') AS k FROM part LATERAL VIEW explode(split(p_name, ' ')) e AS w) t GROUP BY k",
     "SELECT k, array_to_string(list_sort(list(DISTINCT w)), ',') AS words FROM (SELECT w, array_to_string(list_sort(string_split(w, '')), '') AS k FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) z) t GROUP BY k")
@@ -155,7 +173,7 @@ sql("date_math", "SELECT o_orderkey, date_sub(CAST(o_orderdate AS DATE), 30) AS
     "SELECT o_orderkey, CAST(o_orderdate AS DATE) - 30 AS d30, CAST(CAST(o_orderdate AS DATE) - INTERVAL 6 MONTH AS DATE) AS m6, strftime(o_orderdate, '%Y%m%d') AS ymd, epoch_ms(o_orderdate) AS ms FROM orders")
 rows("parse_ts_us", "t", [("2024-01-02T03:04:05.123Z",), ("2024-01-02T03:04:05.1234567Z",)], r"date_format(to_timestamp(substring(t, 1, 19), \"yyyy-MM-dd'T'HH:mm:ss\") + make_dt_interval(0, 0, 0, cast(regexp_extract(t, '[.]([0-9]+)Z', 1) as decimal(18, 6)) / 1000000), 'yyyy-MM-dd HH:mm:ss.SSSSSS')".replace('\\"', '"'), ["2024-01-02 03:04:05.000123", "2024-01-02 03:04:06.234567"])
 sql("minmax_scale", "SELECT o_orderkey, (o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()) AS scaled FROM orders")
-sql("redmean", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt((2 + (l_quantity * 5 + 128) / 2 / 256) * (l_quantity * 5 - 128) * (l_quantity * 5 - 128) + 4 * (l_discount * 2000 - 64) * (l_discount * 2000 - 64)), 8) AS dist FROM lineitem")
+sql("redmean", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sqrt((2 + (l_quantity * 5 + 128) / 2 / 256) * (l_quantity * 5 - 128) * (l_quantity * 5 - 128) + 4 * (l_discount * 2000 - 64) * (l_discount * 2000 - 64) + (2 + (255 - (l_quantity * 5 + 128) / 2) / 256) * (l_tax * 3000 - 32) * (l_tax * 3000 - 32)), 8) AS dist FROM lineitem")
 E2 = ("aggregate(zip_with(a.e, b.e, (x, y) -> {}), 0D, (s, x) -> s + x)", "list_sum(list_transform(range(1, 65), lambda i: {}))")
 sql("vector_distances", "WITH v AS (SELECT vec_id, transform(embedding, x -> CAST(x AS DOUBLE)) AS e, label FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(" + E2[0].format("(x - y) * (x - y)") + "), 6) AS euclid, round(" + E2[0].format("x * y") + ", 6) AS dot FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 = 0",
     "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.e, b.e), 6) AS euclid, round(list_inner_product(a.e, b.e), 6) AS dot FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 20 = 0")
@@ -187,11 +205,19 @@ sql("json_emit", "SELECT c_custkey, to_json(named_struct('id', c_custkey, 'seg',
 rows("fillback_merge", "pred, pcf", [("a__b", "b"), ("Y", None), (None, "c")], "CASE WHEN pred IS NULL THEN pcf WHEN pred IN ('Y', 'N') THEN CASE pred WHEN 'Y' THEN 'Yes' ELSE 'No' END WHEN pcf IS NULL THEN pred ELSE array_join(array_intersect(split(pred, '__'), split(pcf, '__')), '__') END", ["b", "Yes", "c"])
 
 
+def indented(text: str | None) -> str | None:
+    """JSON with an indentation of two; null for null and for what is no JSON."""
+    try:
+        return None if text is None else json.dumps(json.loads(text), indent=2)
+    except ValueError:
+        return None
+
+
 @book.plan("json_pretty")
 def json_pretty(spark, sf_dir):
     @F.pandas_udf("string")
     def pretty(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: json.dumps(json.loads(x), indent=2))
+        return s.map(indented)
 
     return table(spark, sf_dir, "events").select("event_id", pretty("props").alias("pretty"))
 

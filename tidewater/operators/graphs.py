@@ -13,32 +13,55 @@ from tidewater.plans.query import Book, table
 book = Book()
 sql = book.sql
 
-TOK = ("(SELECT doc_id, pos, w FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) e AS pos, w WHERE lang = 'es')",
-       "(SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE lang = 'es') z)")
+TOK = ("(SELECT doc_id, pos, w FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) e AS pos, w)",
+       "(SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents) z)")
 
 
 def both(name: str, text: str) -> None:
     sql(name, text.replace("TOK", TOK[0]), text.replace("TOK", TOK[1]))
 
 
-PAIRS = "p AS (SELECT a.w AS a, b.w AS b, count(*) * 2 AS c FROM TOK a JOIN TOK b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos GROUP BY a.w, b.w)"
-COND = PAIRS + ", e AS (SELECT a, b, c * 1.0e0 / sum(c) OVER (PARTITION BY a) AS p FROM p) "
-both("word_graph_jaccard", f"WITH {PAIRS}, d AS (SELECT a, sum(c) AS deg FROM p GROUP BY a) SELECT p.a, p.b, p.c * 1.0e0 / (x.deg + y.deg - p.c) AS weight FROM p JOIN d x ON p.a = x.a JOIN d y ON p.b = y.a")
-both("word_graph_cond", f"WITH {COND} SELECT a, b, p FROM e")
-both("most_similar_d1", f"WITH {COND} SELECT a, b, p FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS r FROM e) x WHERE r <= 5")
-both("most_similar_multi", f"WITH {COND} SELECT b, round(sum(1 + p), 8) AS score FROM e WHERE a IN ('de', 'la', 'que') GROUP BY b ORDER BY score DESC, b LIMIT 20")
-both("best_path", f"WITH {COND}, k AS (SELECT a, b, p FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS r FROM e WHERE a <> b) x WHERE r <= 5), two AS (SELECT x.a, y.b, max(x.p * y.p) AS p FROM k x JOIN k y ON x.b = y.a WHERE x.a <> y.b GROUP BY x.a, y.b) SELECT a, b, round(max(p), 10) AS p FROM (SELECT a, b, p FROM k UNION ALL SELECT a, b, p FROM two) z WHERE a = 'de' GROUP BY a, b")
+# words at most two places apart, both ways round; they come from each document's array, without a join of positions
+PAIRS = (
+    "f AS (SELECT explode(flatten(transform(ws, (x, i) -> filter(array(named_struct('a', x, 'b', get(ws, i + 1)), named_struct('a', x, 'b', get(ws, i + 2))), p -> p.b IS NOT NULL)))) AS p FROM (SELECT regexp_extract_all(lower(text), '[a-z]+', 0) AS ws FROM documents) d), h AS (SELECT p.a AS a, p.b AS b, count(*) AS c FROM f GROUP BY p.a, p.b), p AS (SELECT a, b, sum(c) * 2 AS c FROM (SELECT a, b, c FROM h UNION ALL SELECT b, a, c FROM h) u GROUP BY a, b)",
+    "t AS (SELECT w, lead(w, 1) OVER o AS n1, lead(w, 2) OVER o AS n2 FROM TOK t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), h AS (SELECT a, b, count(*) AS c FROM (SELECT w AS a, n1 AS b FROM t UNION ALL SELECT w, n2 FROM t) z WHERE b IS NOT NULL GROUP BY a, b), p AS (SELECT a, b, CAST(sum(c) * 2 AS BIGINT) AS c FROM (SELECT a, b, c FROM h UNION ALL SELECT b, a, c FROM h) u GROUP BY a, b)",
+)
+COND = ", d AS (SELECT a, sum(c) AS deg FROM p GROUP BY a), e AS (SELECT p.a, p.b, p.c * 1.0e0 / d.deg AS p FROM p JOIN d ON p.a = d.a) "
+
+
+def graph(name: str, text: str) -> None:
+    sql(name, f"WITH {PAIRS[0]}{text}", f"WITH {PAIRS[1].replace('TOK', TOK[1])}{text}")
+
+
+graph("word_graph_jaccard", ", d AS (SELECT a, sum(c) AS deg FROM p GROUP BY a) SELECT p.a, p.b, p.c * 1.0e0 / (x.deg + y.deg - p.c) AS weight FROM p JOIN d x ON p.a = x.a JOIN d y ON p.b = y.a")
+graph("word_graph_cond", f"{COND}SELECT a, b, p FROM e")
+graph("most_similar_d1", f"{COND}SELECT a, b, p FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS r FROM e) x WHERE r <= 5")
+graph("most_similar_multi", f"{COND}SELECT b, round(sum(1 + p), 8) AS score FROM e WHERE a IN ('de', 'la', 'que') GROUP BY b ORDER BY score DESC, b LIMIT 20")
+# from one word, over the five best neighbours of each word, at most three steps
+graph("best_path", COND + ", k AS (SELECT a, b, p FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p DESC, b) AS r FROM e WHERE a <> b) x WHERE r <= 5), one AS (SELECT a, b, p FROM k WHERE a = 'de'), two AS (SELECT x.a, y.b, max(x.p * y.p) AS p FROM one x JOIN k y ON x.b = y.a WHERE x.a <> y.b GROUP BY x.a, y.b), three AS (SELECT x.a, y.b, max(x.p * y.p) AS p FROM two x JOIN k y ON x.b = y.a WHERE x.a <> y.b GROUP BY x.a, y.b) SELECT a, b, round(max(p), 10) AS p FROM (SELECT a, b, p FROM one UNION ALL SELECT a, b, p FROM two UNION ALL SELECT a, b, p FROM three) z GROUP BY a, b")
+# the word that a rare one stands for, by its neighbours: frequent words known to follow the word before and to precede the one after
+both("spell_context", "WITH t AS (SELECT w, lag(w) OVER o AS l, lead(w) OVER o AS r FROM TOK t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), v AS (SELECT w, count(*) AS n FROM t GROUP BY w), big AS (SELECT t.w AS a, t.r AS b, count(*) AS n FROM t JOIN v ON v.w = t.w WHERE t.r IS NOT NULL GROUP BY t.w, t.r), q AS (SELECT t.w, t.l, t.r FROM t JOIN v ON v.w = t.w WHERE v.n = 1 AND length(t.w) >= 5 AND t.l IS NOT NULL AND t.r IS NOT NULL), c AS (SELECT q.w, f.b AS candidate, f.n * g.n AS score FROM q JOIN big f ON f.a = q.l JOIN big g ON g.a = f.b AND g.b = q.r WHERE f.b <> q.w AND abs(length(f.b) - length(q.w)) <= 2 AND levenshtein(f.b, q.w) <= 2) SELECT w, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC, candidate) AS k FROM c) z WHERE k = 1")
+# a rare word that is two known ones run together, split where the product of their counts is largest
+sql("space_correct", "WITH v AS (SELECT w, count(*) AS n FROM " + TOK[0] + " t GROUP BY w), q AS (SELECT w, explode(sequence(2, length(w) - 2)) AS i FROM v WHERE n <= 2 AND length(w) >= 5), c AS (SELECT q.w, concat(a.w, ' ', b.w) AS apart, a.n * b.n AS score FROM q JOIN v a ON a.w = left(q.w, i) JOIN v b ON b.w = substring(q.w, i + 1) WHERE a.n >= 5 AND b.n >= 5) SELECT w, apart, score FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC, apart) AS k FROM c) z WHERE k = 1",
+    "WITH v AS (SELECT w, count(*) AS n FROM " + TOK[1] + " t GROUP BY w), q AS (SELECT w, unnest(range(2, length(w) - 1)) AS i FROM v WHERE n <= 2 AND length(w) >= 5), c AS (SELECT q.w, concat(a.w, ' ', b.w) AS apart, a.n * b.n AS score FROM q JOIN v a ON a.w = left(q.w, i) JOIN v b ON b.w = substring(q.w, i + 1) WHERE a.n >= 5 AND b.n >= 5) SELECT w, apart, score FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY score DESC, apart) AS k FROM c) z WHERE k = 1")
 both("spell_candidates", "WITH v AS (SELECT w, count(*) AS n FROM TOK t GROUP BY w), r AS (SELECT * FROM v WHERE n = 1 AND length(w) BETWEEN 5 AND 7), g AS (SELECT * FROM v WHERE n >= 20 AND length(w) >= 4) SELECT r.w, g.w AS candidate, levenshtein(r.w, g.w) AS dist FROM r JOIN g ON left(r.w, 2) = left(g.w, 2) AND abs(length(r.w) - length(g.w)) <= 1 WHERE levenshtein(r.w, g.w) <= 2")
 
 EDGES = "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON floor(a.c_acctbal / 5) = floor(b.c_acctbal / 5) AND a.c_custkey <> b.c_custkey"
 sql("identity_edges", f"SELECT DISTINCT a, b, md5(concat_ws('::', CAST(a AS STRING), CAST(b AS STRING))) AS id FROM ({EDGES}) e", f"SELECT DISTINCT a, b, md5(concat_ws('::', CAST(a AS VARCHAR), CAST(b AS VARCHAR))) AS id FROM ({EDGES}) e")
 
 
+def checkpoint_dir(spark) -> None:
+    """spark.checkpoint.dir where it is set; a folder of our own only on a local master, as in tests."""
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
+
+
 def closure(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) by min-label propagation with pointer jumping; each round is cut in the shared folder."""
-    sc = edges.sparkSession.sparkContext
-    if not edges.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
+    checkpoint_dir(edges.sparkSession)
     both_ways = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both_ways.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     for _ in range(rounds):
@@ -72,14 +95,49 @@ def shortest_paths(spark, sf_dir):
     return best
 
 
-@book.plan("critical_path", "WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, s_nationkey + 1 + s_suppkey % 3 AS b, 1 + s_suppkey % 9 AS w FROM supplier WHERE s_nationkey < 6), r AS (SELECT a::BIGINT AS n, 0::BIGINT AS d FROM e UNION SELECT e.b, r.d + e.w FROM r JOIN e ON e.a = r.n) SELECT CAST(coalesce(max(d), 0) AS BIGINT) AS longest FROM r")
+def topo_levels(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(id, level, far) of the nodes of weighted edges (a, b, w): the longest paths to each by steps and by weight.
+
+    Nodes come in topological order by level; a graph with a cycle gives no rows. A round settles the
+    nodes whose predecessors are all settled, and each is cut in the shared folder.
+    """
+    checkpoint_dir(edges.sparkSession)
+    left = edges.select("a", "b", "w").distinct().checkpoint()
+    nodes = left.select("a").union(left.select("b")).distinct().select(F.col("a").alias("id"))
+    ready = nodes.join(left.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("far")).checkpoint()
+    due = nodes.select("id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("far")).limit(0)
+    done = ready
+    for _ in range(rounds):
+        if left.isEmpty():
+            return done
+        if ready.isEmpty():
+            return done.limit(0)
+        step = left.join(ready, F.col("a") == F.col("id")).select(F.col("b").alias("id"), (F.col("level") + 1).alias("level"), (F.col("far") + F.col("w")).alias("far"))
+        due = due.union(step).groupBy("id").agg(F.max("level").alias("level"), F.max("far").alias("far")).checkpoint()
+        left = left.join(ready, F.col("a") == F.col("id"), "left_anti").checkpoint()
+        waiting = left.select(F.col("b").alias("id")).distinct()
+        ready = due.join(waiting, "id", "left_anti").checkpoint()
+        due = due.join(waiting, "id", "left_semi").checkpoint()
+        done = done.union(ready)
+    raise RuntimeError("levels did not settle")
+
+
+STEPS = "SELECT DISTINCT s_nationkey AS a, s_nationkey + 1 + s_suppkey % 3 AS b, 1 + s_suppkey % 9 AS w FROM supplier"
+
+
+def nation_steps(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_nationkey").cast("long").alias("a"), (F.col("s_nationkey") + 1 + F.col("s_suppkey") % 3).cast("long").alias("b"), (1 + F.col("s_suppkey") % 9).alias("w"))
+
+
+@book.plan("critical_path", f"WITH RECURSIVE e AS ({STEPS}), r AS (SELECT a::BIGINT AS n, 0::BIGINT AS d FROM e UNION SELECT e.b, r.d + e.w FROM r JOIN e ON e.a = r.n) SELECT CAST(coalesce(max(d), 0) AS BIGINT) AS longest FROM r")
 def critical_path(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_nationkey < 6")
-    e = s.select(F.col("s_nationkey").cast("long").alias("a"), (F.col("s_nationkey") + 1 + F.col("s_suppkey") % 3).cast("long").alias("b"), (1 + F.col("s_suppkey") % 9).alias("w")).distinct()
-    far = e.select(F.col("a").alias("n")).distinct().withColumn("d", F.lit(0).cast("long"))
-    for _ in range(7):
-        far = far.union(far.join(e, F.col("n") == F.col("a")).select(F.col("b").alias("n"), (F.col("d") + F.col("w")).alias("d"))).groupBy("n").agg(F.max("d").alias("d"))
-    return far.agg(F.coalesce(F.max("d"), F.lit(0)).alias("longest"))
+    return topo_levels(nation_steps(spark, sf_dir)).agg(F.coalesce(F.max("far"), F.lit(0)).alias("longest"))
+
+
+@book.plan("topo_order", f"WITH RECURSIVE e AS ({STEPS}), r AS (SELECT a::BIGINT AS id, 0 AS level FROM e UNION SELECT e.b, r.level + 1 FROM r JOIN e ON e.a = r.id) SELECT id, CAST(max(level) AS INT) AS level FROM r GROUP BY id")
+def topo_order(spark, sf_dir):
+    return topo_levels(nation_steps(spark, sf_dir)).select("id", "level")
 
 
 # vectors
@@ -98,9 +156,11 @@ vectors("knn_within_label", ", d AS (SELECT a.vec_id AS q, b.vec_id AS n, round(
 vectors("knn_vote", ", d AS (SELECT a.vec_id AS q, b.label AS l, b.vec_id AS n, round(DIST, 6) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT q, l FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, n) AS r FROM d) x WHERE r <= 5), c AS (SELECT q, l, count(*) AS n FROM k GROUP BY q, l) SELECT q, l AS label, n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC, l) AS r FROM c) y WHERE r = 1")
 vectors("knn_laplacian", ", d AS (SELECT a.vec_id AS q, b.vec_id AS n, round(DIST, 6) AS dist FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT q, n FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, n) AS r FROM d) x WHERE r <= 3), s AS (SELECT q AS i, n AS j FROM k UNION SELECT n, q FROM k) SELECT i, j, -1 AS v FROM s UNION ALL SELECT i, i, CAST(count(*) AS INT) FROM s GROUP BY i")
 vectors("grouping_eval", ", d AS (SELECT a.vec_id AS q, b.vec_id AS n, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS same, round(DIST, 6) AS dist FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), k AS (SELECT q, same, row_number() OVER (PARTITION BY q ORDER BY dist, n) AS r FROM d), g AS (SELECT q, sum(same) AS gold FROM d GROUP BY q) SELECT k.q, sum(k.same) / 5.0e0 AS prec, CASE WHEN g.gold = 0 THEN 0 ELSE sum(k.same) * 1.0e0 / g.gold END AS rec FROM k JOIN g ON k.q = g.q WHERE k.r <= 5 GROUP BY k.q, g.gold")
-CODE = ("c AS (SELECT vec_id, aggregate(slice(embedding, 1, 62), 0L, (s, x) -> s * 2 + CASE WHEN x > 0 THEN 1 ELSE 0 END) AS code FROM embeddings)", "c AS (SELECT vec_id, list_sum(list_transform(range(1, 63), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (62 - i)) ELSE 0::BIGINT END))::BIGINT AS code FROM embeddings)")
-HAM = " SELECT a.vec_id AS q, min(bit_count(BITX)) AS dist FROM c a JOIN c b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id"
-sql("hamming_nearest", "WITH " + CODE[0] + HAM.replace("BITX", "a.code ^ b.code"), "WITH " + CODE[1] + HAM.replace("min(bit_count(BITX))", "CAST(min(bit_count(xor(a.code, b.code))) AS INT)"))
+# the signs of all 64 components, in two halves
+CODE = ("c AS (SELECT vec_id, aggregate(slice(embedding, 1, 32), 0L, (s, x) -> s * 2 + CASE WHEN x > 0 THEN 1 ELSE 0 END) AS lo, aggregate(slice(embedding, 33, 32), 0L, (s, x) -> s * 2 + CASE WHEN x > 0 THEN 1 ELSE 0 END) AS hi FROM embeddings)",
+        "c AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (32 - i)) ELSE 0::BIGINT END))::BIGINT AS lo, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i + 32] > 0 THEN (1::BIGINT << (32 - i)) ELSE 0::BIGINT END))::BIGINT AS hi FROM embeddings)")
+HAM = " SELECT a.vec_id AS q, min(BITX) AS dist FROM c a JOIN c b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id"
+sql("hamming_nearest", "WITH " + CODE[0] + HAM.replace("BITX", "bit_count(a.lo ^ b.lo) + bit_count(a.hi ^ b.hi)"), "WITH " + CODE[1] + HAM.replace("min(BITX)", "CAST(min(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi))) AS INT)"))
 
 
 @book.plan("knn_pq")
@@ -155,7 +215,7 @@ for _name, _text in {
     "counting_bloom": "SELECT p, CAST(sum(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n FROM POS t GROUP BY p HAVING sum(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END) > 0",
 }.items():
     sql(_name, _text.replace("POS", POS).replace("RES", RES[0].format("k")), _text.replace("POS", POS).replace("RES", RES[1].format("k")))
-sql("autocomplete_topk", "SELECT prefix, p_name, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, p_name) AS r FROM (SELECT p_name, n, explode(transform(sequence(1, length(p_name)), i -> substring(p_name, 1, i))) AS prefix FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) c) x) y WHERE r <= 10",
+sql("autocomplete_topk", "SELECT prefix, p_name, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, p_name) AS r FROM (SELECT p_name, n, explode(transform(filter(sequence(1, greatest(length(p_name), 1)), i -> i <= length(p_name)), i -> substring(p_name, 1, i))) AS prefix FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) c) x) y WHERE r <= 10",
     "SELECT prefix, p_name, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, p_name) AS r FROM (SELECT p_name, n, unnest(list_transform(range(1, length(p_name) + 1), lambda i: substring(p_name, 1, i))) AS prefix FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) c) x) y WHERE r <= 10")
 sql("prefix_suffix_filter", "SELECT max(CASE WHEN p_name LIKE 'l%' AND p_name LIKE '%t' THEN p_partkey ELSE -1 END) AS best FROM part")
 
@@ -165,7 +225,8 @@ LINKS = (r"(SELECT page_id, explode(regexp_extract_all(html, '<a [^>]*href=\"(/[
 sql("html_links", f"SELECT page_id, link, count(*) AS n FROM {LINKS[0]} t GROUP BY page_id, link", f"SELECT page_id, link, count(*) AS n FROM {LINKS[1]} t GROUP BY page_id, link")
 sql("html_fields", r"SELECT page_id, coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), 'NA') AS title, coalesce(nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), ''), 'NA') AS lang, coalesce(nullif(regexp_extract(html, 'price=\"([0-9.]+)\"', 1), ''), 'NA') AS price FROM pages",
     r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), 'NA') AS title, coalesce(nullif(regexp_extract(html, 'lang="([a-z]+)"', 1), ''), 'NA') AS lang, coalesce(nullif(regexp_extract(html, 'price="([0-9.]+)"', 1), ''), 'NA') AS price FROM pages""")
-FRONT = "l AS (SELECT DISTINCT page_id, link FROM LINKS t), seen AS (SELECT DISTINCT link FROM l WHERE page_id < 20), next AS (SELECT l.link, count(*) AS score, 1 AS level FROM l WHERE page_id BETWEEN 20 AND 120 AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.link = l.link) GROUP BY l.link) SELECT link, score, level FROM next ORDER BY score DESC, link LIMIT 50"
+# links of all pages to what has not been fetched, the most wanted first
+FRONT = "l AS (SELECT DISTINCT page_id, link FROM LINKS t), seen AS (SELECT DISTINCT regexp_extract(url, '://[^/]+(/[^?#]*)', 1) AS link FROM pages), next AS (SELECT l.link, count(*) AS score, 1 AS level FROM l WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.link = l.link) GROUP BY l.link) SELECT link, score, level FROM next ORDER BY score DESC, link LIMIT 50"
 sql("crawl_frontier", "WITH " + FRONT.replace("LINKS", LINKS[0]), "WITH " + FRONT.replace("LINKS", LINKS[1]))
 
 
@@ -197,7 +258,7 @@ def dict_tagging(spark, sf_dir):
 
     phrases = frozenset(tuple(x.split()) for x in ("the of", "of the", "and the", "in the and"))
     longest = max(map(len, phrases))
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
 
     def run(frames):
         for f in frames:

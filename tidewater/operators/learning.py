@@ -32,7 +32,7 @@ q AS (SELECT doc_id, y, exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id) AS r FRO
 SELECT y, round(sum(r), 4) AS mass, count(*) AS docs FROM q WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = q.doc_id) GROUP BY y""")
 sql("adaboost_round", """WITH d AS (SELECT l.doc_id, l.quality AS y, CASE WHEN d.n_chars > 600 THEN 1 ELSE 0 END AS p, 1.0e0 / count(*) OVER () AS w FROM labels l JOIN documents d ON d.doc_id = l.doc_id), e AS (SELECT sum(CASE WHEN y <> p THEN w ELSE 0 END) AS err FROM d), a AS (SELECT ln((1 - err) / err) AS alpha FROM e),
 u AS (SELECT doc_id, w * CASE WHEN y <> p THEN exp(alpha) ELSE 1 END AS w FROM d CROSS JOIN a) SELECT doc_id, round(w / sum(w) OVER (), 9) AS w FROM u""")
-CF = """WITH r AS (SELECT o.o_custkey AS u, l.l_partkey AS i, avg(l.l_quantity) AS q FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_custkey % 10 = 1 GROUP BY o.o_custkey, l.l_partkey),
+CF = """WITH r AS (SELECT o.o_custkey AS u, l.l_partkey AS i, avg(l.l_quantity) AS q FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_custkey, l.l_partkey),
 s AS (SELECT a.u AS u1, b.u AS u2, 1 - tanh(sqrt(2 * avg((a.q - b.q) * (a.q - b.q)))) AS sim FROM r a JOIN r b ON a.i = b.i AND a.u <> b.u GROUP BY a.u, b.u), t AS (SELECT u1, sum(sim) AS total FROM s GROUP BY u1),
 p AS (SELECT s.u1 AS u, r.i, sum(s.sim * r.q) AS x FROM s JOIN r ON r.u = s.u2 GROUP BY s.u1, r.i) SELECT p.u, p.i, round(CASE WHEN t.total > 1e-6 THEN p.x / t.total END, 6) AS predicted FROM p JOIN t ON t.u1 = p.u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = p.u AND r.i = p.i)"""
 sql("cf_predict", CF)
@@ -48,7 +48,7 @@ sql("backoff_tagger", f"""WITH s AS {SEQ}, tri AS (SELECT a, b, t FROM (SELECT a
 SELECT s.event_id, coalesce(tri.t, bi.t, 'view') AS predicted FROM s LEFT JOIN tri ON s.a = tri.a AND s.b = tri.b LEFT JOIN bi ON s.a = bi.a""")
 DIMS = ("(SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x)", "(SELECT vec_id, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)")
 sql("weighted_doc_vector", f"SELECT label, pos, round(CASE WHEN sum(vec_id % 7) = 0 THEN 0 ELSE sum(x * (vec_id % 7)) / sum(vec_id % 7) END, 7) AS v FROM {DIMS[0]} t GROUP BY label, pos", f"SELECT label, pos, round(CASE WHEN sum(vec_id % 7) = 0 THEN 0 ELSE sum(x * (vec_id % 7)) / sum(vec_id % 7) END, 7) AS v FROM {DIMS[1]} t GROUP BY label, pos")
-sql("training_pairs", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS same FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 25 = 0) SELECT a, b, same FROM (SELECT *, row_number() OVER (PARTITION BY a, same ORDER BY b DESC) AS r FROM p) x WHERE r <= 3")
+sql("training_pairs", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS same FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0) SELECT a, b, same FROM (SELECT *, row_number() OVER (PARTITION BY a, same ORDER BY b DESC) AS r FROM p) x WHERE r <= 3")
 
 
 def _features(spark, sf_dir):

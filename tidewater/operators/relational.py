@@ -128,10 +128,10 @@ GROUP BY a.p_name, b.p_name, x.k, y.k HAVING count(*) = least(x.k, y.k) AND abs(
     """WITH n AS (SELECT DISTINCT p_name FROM part), t AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM n), z AS (SELECT p_name, count(*) AS k FROM t GROUP BY p_name)
 SELECT a.p_name AS a, b.p_name AS b, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.p_name < b.p_name JOIN z x ON x.p_name = a.p_name JOIN z y ON y.p_name = b.p_name
 GROUP BY a.p_name, b.p_name, x.k, y.k HAVING count(*) = least(x.k, y.k) AND abs(x.k - y.k) <= 2""")
-sql("dtm_append", """WITH t AS (SELECT doc_id, lang, lower(w) AS w FROM documents LATERAL VIEW explode(split(text, ' ')) e AS w), d AS (SELECT w, dense_rank() OVER (ORDER BY w) AS term_id FROM (SELECT DISTINCT w FROM t WHERE lang = 'en' UNION SELECT DISTINCT w FROM t WHERE lang = 'de') x)
-SELECT t.doc_id, d.term_id, count(*) AS n FROM t JOIN d ON t.w = d.w WHERE t.lang IN ('en', 'de') GROUP BY t.doc_id, d.term_id""",
-    """WITH t AS (SELECT doc_id, lang, lower(w) AS w FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w FROM documents) z), d AS (SELECT w, dense_rank() OVER (ORDER BY w) AS term_id FROM (SELECT DISTINCT w FROM t WHERE lang = 'en' UNION SELECT DISTINCT w FROM t WHERE lang = 'de') x)
-SELECT t.doc_id, d.term_id, count(*) AS n FROM t JOIN d ON t.w = d.w WHERE t.lang IN ('en', 'de') GROUP BY t.doc_id, d.term_id""")
+sql("dtm_append", """WITH t AS (SELECT doc_id, lang, lower(w) AS w FROM documents LATERAL VIEW explode(split(text, ' ')) e AS w), d AS (SELECT w, dense_rank() OVER (ORDER BY w) AS term_id FROM (SELECT DISTINCT w FROM t WHERE lang = 'en' UNION SELECT DISTINCT w FROM t WHERE coalesce(lang, '') <> 'en') x)
+SELECT t.doc_id, d.term_id, count(*) AS n FROM t JOIN d ON t.w = d.w GROUP BY t.doc_id, d.term_id""",
+    """WITH t AS (SELECT doc_id, lang, lower(w) AS w FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS w FROM documents) z), d AS (SELECT w, dense_rank() OVER (ORDER BY w) AS term_id FROM (SELECT DISTINCT w FROM t WHERE lang = 'en' UNION SELECT DISTINCT w FROM t WHERE coalesce(lang, '') <> 'en') x)
+SELECT t.doc_id, d.term_id, count(*) AS n FROM t JOIN d ON t.w = d.w GROUP BY t.doc_id, d.term_id""")
 
 # set operations
 sql("union_all", "SELECT c_custkey AS k, c_name AS name, 'c' AS side FROM customer UNION ALL SELECT s_suppkey, s_name, 's' FROM supplier")

@@ -43,15 +43,17 @@ def fft_period(spark, sf_dir):
     return hourly.groupBy("event_type").applyInPandas(period, "event_type string, period long")
 
 
-TOK = ("(SELECT doc_id, pos, w FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) e AS pos, w WHERE source = 'src1')",
-       "(SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents WHERE source = 'src1') z)")
+TOK = ("(SELECT doc_id, pos, w FROM documents LATERAL VIEW posexplode(regexp_extract_all(lower(text), '[a-z]+', 0)) e AS pos, w)",
+       "(SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents) z)")
 
 
 def both(name: str, text: str) -> None:
     sql(name, text.replace("TOK", TOK[0]), text.replace("TOK", TOK[1]))
 
 
-both("skipgram_pairs", "SELECT w, c, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.pos, a.w, b.w AS c FROM TOK a JOIN TOK b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos) x GROUP BY w, c")
+# a token's neighbours come from its document's array, without a join of positions
+sql("skipgram_pairs", "SELECT p.w AS w, p.c AS c, count(*) AS n FROM (SELECT explode(flatten(transform(ws, (x, i) -> transform(array_distinct(filter(array(get(ws, i - 2), get(ws, i - 1), get(ws, i + 1), get(ws, i + 2)), y -> y IS NOT NULL)), y -> named_struct('w', x, 'c', y))))) AS p FROM (SELECT regexp_extract_all(lower(text), '[a-z]+', 0) AS ws FROM documents) d) t GROUP BY p.w, p.c",
+    "SELECT w, c, count(*) AS n FROM (SELECT w, unnest(list_distinct(list_filter([lag(w, 2) OVER o, lag(w, 1) OVER o, lead(w, 1) OVER o, lead(w, 2) OVER o], lambda y: y IS NOT NULL))) AS c FROM " + TOK[1] + " t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) x GROUP BY w, c")
 both("token_contexts", "SELECT doc_id, pos, w, lag(w, 1) OVER o AS l1, lag(w, 2) OVER o AS l2, CASE WHEN pos < n - 2 THEN lead(w, 1) OVER o END AS r1 FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM TOK t) x WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
 both("token_shape_features", "SELECT doc_id, pos, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), '__START1__') AS prev, coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY pos), '__END1__') AS next, length(w) AS len FROM TOK t")
 
@@ -111,8 +113,8 @@ PRE = "p AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey
 sql("subarray_sum_k", "WITH " + PRE + "SELECT a.k AS l_orderkey, count(*) AS n FROM z a JOIN z b ON a.k = b.k AND b.s = a.s + 50 AND a.i < b.i GROUP BY a.k")
 sql("prefix_mod_count", "WITH " + PRE + "SELECT k AS l_orderkey, CAST(sum(c * (c - 1) / 2) AS BIGINT) AS n FROM (SELECT k, s % 7 AS r, count(*) AS c FROM z GROUP BY k, s % 7) x GROUP BY k")
 sql("sliding_median", f"SELECT d, percentile(y, 0.5) OVER (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS med FROM {DAILY} t", f"SELECT d, quantile_cont(y, 0.5) OVER (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS med FROM {DAILY} t")
-sql("longest_consecutive", "WITH d AS (SELECT DISTINCT datediff(CAST(o_orderdate AS DATE), DATE'1970-01-01') AS v FROM orders WHERE o_orderstatus = 'P'), g AS (SELECT v - row_number() OVER (ORDER BY v) AS g FROM d) SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM g GROUP BY g) x",
-    "WITH d AS (SELECT DISTINCT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS v FROM orders WHERE o_orderstatus = 'P'), g AS (SELECT v - row_number() OVER (ORDER BY v) AS g FROM d) SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM g GROUP BY g) x")
+sql("longest_consecutive", "WITH d AS (SELECT DISTINCT datediff(CAST(o_orderdate AS DATE), DATE'1970-01-01') AS v FROM orders), g AS (SELECT v - row_number() OVER (ORDER BY v) AS g FROM d) SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM g GROUP BY g) x",
+    "WITH d AS (SELECT DISTINCT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS v FROM orders), g AS (SELECT v - row_number() OVER (ORDER BY v) AS g FROM d) SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM g GROUP BY g) x")
 sql("best_trade", f"SELECT round(max(y - lo), 4) AS single, round(sum(CASE WHEN y > p THEN y - p ELSE 0 END), 2) AS unlimited FROM (SELECT y, min(y) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo, lag(y) OVER (ORDER BY d) AS p FROM {ORDERS_DAILY} t) x")
 
 

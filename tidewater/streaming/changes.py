@@ -22,10 +22,10 @@ OPS = "CASE event_type WHEN 'refund' THEN 'REMOVE' WHEN 'purchase' THEN 'INSERT'
 LATEST = f"(SELECT *, {OPS} AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)"
 sql("cdc_latest", f"SELECT user_id, event_id, props FROM {LATEST} t WHERE r = 1 AND op <> 'REMOVE'")
 sql("cdc_upsert", "SELECT md5(concat_ws('::', CAST(user_id AS VARCHAR(20)), event_type)) AS id, max(event_id) AS last_event FROM events GROUP BY md5(concat_ws('::', CAST(user_id AS VARCHAR(20)), event_type))")
-sql("cdc_edges", f"""WITH gone AS (SELECT user_id FROM {LATEST} t WHERE r = 1 AND op = 'REMOVE'), e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON get_json_object(a.props, '$.k') = get_json_object(b.props, '$.k') AND a.event_type = b.event_type AND a.user_id < b.user_id AND a.event_id % 10 = 0 AND b.event_id % 10 = 0)
-SELECT src, dst FROM e WHERE src NOT IN (SELECT user_id FROM gone) AND dst NOT IN (SELECT user_id FROM gone)""",
-    f"""WITH gone AS (SELECT user_id FROM {LATEST} t WHERE r = 1 AND op = 'REMOVE'), e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k') AND a.event_type = b.event_type AND a.user_id < b.user_id AND a.event_id % 10 = 0 AND b.event_id % 10 = 0)
-SELECT src, dst FROM e WHERE src NOT IN (SELECT user_id FROM gone) AND dst NOT IN (SELECT user_id FROM gone)""")
+sql("cdc_edges", f"""WITH u AS (SELECT DISTINCT user_id, event_type, get_json_object(props, '$.k') AS k FROM events), gone AS (SELECT user_id FROM {LATEST} t WHERE r = 1 AND op = 'REMOVE'), e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM u a JOIN u b ON a.k = b.k AND a.event_type = b.event_type AND a.user_id < b.user_id)
+SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = e.src) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = e.dst)""",
+    f"""WITH u AS (SELECT DISTINCT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events), gone AS (SELECT user_id FROM {LATEST} t WHERE r = 1 AND op = 'REMOVE'), e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM u a JOIN u b ON a.k = b.k AND a.event_type = b.event_type AND a.user_id < b.user_id)
+SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = e.src) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = e.dst)""")
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
@@ -50,7 +50,7 @@ def stream_counts(spark, sf_dir):
 @book.plan("stream_autocomplete", "SELECT prefix, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, event_type) AS r FROM (SELECT event_type, n, unnest(list_transform(range(1, length(event_type) + 1), lambda i: substring(event_type, 1, i))) AS prefix FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) c) x) y WHERE r <= 10")
 def stream_autocomplete(spark, sf_dir):
     counts = drain(event_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
-    prefixes = counts.withColumn("prefix", F.explode(F.expr("transform(sequence(1, length(event_type)), i -> substring(event_type, 1, i))")))
+    prefixes = counts.withColumn("prefix", F.explode(F.expr("transform(filter(sequence(1, greatest(length(event_type), 1)), i -> i <= length(event_type)), i -> substring(event_type, 1, i))")))
     order = W.partitionBy("prefix").orderBy(F.desc("n"), "event_type")
     return prefixes.withColumn("r", F.row_number().over(order)).where("r <= 10").select("prefix", "event_type", "n")
 
