@@ -129,7 +129,17 @@ def number_words(text: str) -> Column:
     return F.when(clear, F.get(ranked, 0)["v"])
 
 
-@book.plan("number_words", "WITH m AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '" + WORDS + "'))) AS w FROM documents), c AS (SELECT doc_id, CASE w " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in NUMBERS) + " END AS v, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM c) SELECT d.doc_id, CAST(b.v AS INT) AS result FROM documents d LEFT JOIN (SELECT doc_id, min(v) AS v FROM r WHERE r = 1 GROUP BY doc_id HAVING count(*) = 1) b ON b.doc_id = d.doc_id")
+# the other engine's word boundary is of ASCII letters only, so its pattern names the neighbours
+_BOUNDED = WORDS.replace(r"\bone", r"(?:^|[^\p{L}\p{N}_])one").replace(r"triple\b", r"triple(?:$|[^\p{L}\p{N}_])")
+_CASES = " ".join(f"WHEN '{w}' THEN {n}" for w, n in NUMBERS)
+
+
+@book.plan(
+    "number_words",
+    f"""WITH m AS (SELECT doc_id, regexp_replace(lower(unnest(regexp_extract_all(text, '{_BOUNDED}'))), '[^a-z]', '', 'g') AS w FROM documents),
+c AS (SELECT doc_id, CASE w {_CASES} END AS v, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM c)
+SELECT d.doc_id, CAST(b.v AS INT) AS result FROM documents d LEFT JOIN (SELECT doc_id, min(v) AS v FROM r WHERE r = 1 GROUP BY doc_id HAVING count(*) = 1) b ON b.doc_id = d.doc_id""",
+)
 def number_words_of_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", number_words("text").alias("result"))
 
