@@ -9,12 +9,13 @@ are similar enough share SHARED shingles of their prefixes, whatever the order i
 Classes with one size and prefix collapse into a group, and groups are what is joined:
 
 1. Every prefix shingle is a bucket of groups. Buckets of one group are dropped. In each other bucket
-   every group meets the PIVOTS first groups; the group pairs are filtered by size and by how many
-   shingles they share.
+   every group meets the PIVOTS first groups; the group pairs are filtered by size.
 2. What is left is expanded: the pairs' representatives, and every group's members with theirs, are
-   bounded by parity maps (a sixteenth of a set's size) and verified by their whole sets.
+   bounded by parity maps (a bit or two a shingle) and verified by their whole sets, the likeliest pair
+   of each class first and none whose ends are linked by then.
 3. Buckets in which not all classes have met, and whose classes are still in different components, are
-   expanded to members. Those outside the bucket's largest component are held against each other and
+   expanded to members. What similar sets must share lies then in such buckets alone, so each class leaves
+   the largest SHARED - 1 of its own. Those outside the bucket's largest component are held against each other and
    against it, in cells of two blocks of bounded size. A cell first names the members for whose parity
    maps some partner is possible; their sets then meet in the cell, which counts all intersections
    exactly and returns only links that join two of its components: fewer than its members.
@@ -45,7 +46,7 @@ SHARED = 4
 #: Shingles counted so often go to SALTS tasks each.
 HOT, SALTS = 4096, 64
 #: Groups of a bucket that all others meet.
-PIVOTS = 16
+PIVOTS = 32
 #: Classes, and shingles of them, in a block of a cell.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles whose bits are held at once.
@@ -155,8 +156,8 @@ def _pair_key(prints: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """A bit for each residue of the shingles' hashes, on if an odd number of them has it; four bits a shingle or so."""
-    size = 1 << min(17, max(6, int(4 * len(s) - 1).bit_length()))
+    """A bit for each residue of the shingles' hashes, on if an odd number of them has it; a bit a shingle or so."""
+    size = 1 << min(17, max(6, (len(s) - 1).bit_length()))
     return np.packbits((np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -347,14 +348,11 @@ def _joined(entries: DataFrame, members: DataFrame, parity_of, sets_of, similari
     first = groups.select("gid", "rep")
 
     # group pairs: every group of a bucket and the bucket's pivots
-    place = [F.xxhash64("gid"), F.col("gid"), F.col("n")]
-    placed = entries.withColumn("place", F.struct(*(c.alias(f"p{i}") for i, c in enumerate(place))))
-    pivots = entries.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy(*place))).where(F.col("r") <= PIVOTS)
-    pivots = pivots.select(F.col("h").alias("ph"), F.col("gid").alias("pivot"), F.col("n").alias("m"), F.struct(F.xxhash64("gid").alias("p0"), F.col("gid").alias("p1"), F.col("n").alias("p2")).alias("before"))
-    pairs = placed.join(pivots, (F.col("h") == F.col("ph")) & (F.col("before") < F.col("place"))).where(fits).where("gid <> pivot")
-    pairs = pairs.select(F.least("gid", "pivot").alias("x"), F.greatest("gid", "pivot").alias("y"), F.least("n", "m").alias("small"))
-    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("shared"), F.min("small").alias("small"))
-    pairs = pack(pairs.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("small") * similarity / 100))).select("x", "y"))
+    pivots = entries.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy(F.xxhash64("gid"), "gid", "n"))).where(F.col("r") <= PIVOTS)
+    pivots = pivots.select(F.col("h").alias("ph"), F.col("gid").alias("pivot"), F.col("n").alias("m"))
+    later = F.expr("struct(xxhash64(pivot) AS x, pivot AS y, m AS z) < struct(xxhash64(gid) AS x, gid AS y, n AS z)")
+    pairs = entries.join(pivots, (F.col("h") == F.col("ph")) & later).where(fits).where("gid <> pivot")
+    pairs = pack(pairs.select(F.least("gid", "pivot").alias("x"), F.greatest("gid", "pivot").alias("y")).distinct())
 
     # expanded: the representatives of group pairs, and members with their group's
     across = pairs.join(first.select(F.col("gid").alias("x"), F.col("rep").alias("a")), "x").join(first.select(F.col("gid").alias("y"), F.col("rep").alias("b")), "y")
@@ -362,7 +360,12 @@ def _joined(entries: DataFrame, members: DataFrame, parity_of, sets_of, similari
     pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(several.select(F.col("rep").alias("a"), F.col("num").alias("b")))
     possible = pack(_bounded(pairs.distinct(), parity_of, similarity))
     sets = sets_of(possible.select(F.explode(F.array("a", "b")).alias("num")).distinct())
-    label = components(_verify(possible, sets, similarity))
+    # the likeliest pair of every class first, then what is still apart
+    best = possible.select(F.explode(F.array("a", "b")).alias("end"), "d", "a", "b").groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("pair"))
+    best = pack(best.select("pair.a", "pair.b").distinct())
+    label = components(_verify(best, sets, similarity))
+    apart = pack(_apart(possible.select("a", "b").join(best, ["a", "b"], "left_anti"), label))
+    label = components(_edges(label).union(_verify(apart, sets, similarity)))
 
     more = _within_buckets(entries, members, groups, label, parity_of, sets_of, similarity)
     return label if more is None else components(_edges(label).union(more))
@@ -385,6 +388,14 @@ def _within_buckets(entries: DataFrame, members: DataFrame, groups: DataFrame, l
     rows = rows.union(own).join(label, F.col("num") == F.col("id"), "left")
     rows = pack(rows.select("kind", "h", "num", "n", F.coalesce("component", "num").alias("component")))
 
+    # Classes of different components that have not met share SHARED such buckets, or as many as the smaller set
+    # asks for. So each may leave that many less one of its buckets, the largest ones, and some bucket stays common.
+    mixed = rows.groupBy("kind", "h").agg(F.count("*").alias("all"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+    rows = rows.join(mixed, ["kind", "h"])
+    place = F.row_number().over(W.partitionBy("kind", "num").orderBy(F.col("all").desc(), "h"))
+    may = F.least(F.lit(SHARED), F.ceil(F.col("n") * similarity / 100)) - 1
+    rows = held = pack(rows.withColumn("place", place).where((F.col("kind") == 1) | (F.col("place") > may)).drop("place", "all"))
+
     # a bucket's largest component against the rest, and the rest against itself; a small bucket is one cell
     each = rows.groupBy("kind", "h", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     top = each.groupBy("kind", "h").agg(F.max(F.struct("c", "component", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
@@ -403,7 +414,7 @@ def _within_buckets(entries: DataFrame, members: DataFrame, groups: DataFrame, l
     cells = rows.withColumn("cell", F.explode(F.when(F.col("one"), F.array(cell(0, F.lit(0), F.lit(0), F.lit(True)))).when(F.col("rest"), of_rest).otherwise(of_main))).select("kind", "h", "cell.*", "num", "n", "component")
     key = ["kind", "h", "t", "i", "j"]
 
-    maps = parity_of(rows.select("num").distinct()).select("num", "parity").mapInArrow(_folded, "num long, parity binary")
+    maps = parity_of(held.select("num").distinct()).select("num", "parity")
     bounded = cells.join(maps, "num").select(*cells.columns, "parity").repartition(*key).sortWithinPartitions(*key)
     likely = pack(bounded.mapInArrow(_cells(lambda rows: _likely(rows, similarity)), cells.schema))
     if likely.isEmpty():
@@ -412,18 +423,6 @@ def _within_buckets(entries: DataFrame, members: DataFrame, groups: DataFrame, l
     return whole.mapInArrow(_cells(lambda rows: _cell_links(rows, similarity)), "a long, b long")
 
 
-def _folded(batches):
-    """Parity maps of a bit a shingle or so, from those of four bits."""
-    for batch in batches:
-        small = []
-        for x in batch.column(1):
-            m = np.frombuffer(x.as_buffer(), np.uint8)
-            for _ in range(2):
-                m = m[: len(m) // 2] ^ m[len(m) // 2 :] if len(m) > 8 else m
-            small.append(m.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["num", "parity"])
-
-
 def _cells(work):
     """Streams rows sorted by cell: what ``work`` makes of the table of each."""
 
@@ -519,21 +518,29 @@ def _cell_links(rows: pa.Table, similarity: int) -> pa.Table:
     return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    one = label.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
+    two = label.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
+    named = pairs.join(one, "a", "left").join(two, "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _bounded(pairs: DataFrame, parity_of, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose parity maps differ in no more bits than linked sets can."""
+    """The pairs (a, b) whose parity maps differ in no more bits than linked sets can; d is the share of these in a million."""
 
     def run(batches):
         for batch in batches:
             size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            d = [_differences(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5))]
-            possible = 100 * (size - np.array(d, np.int64)) >= similarity * (size + np.array(d, np.int64))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(possible))
+            d = np.array([_differences(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5))], np.int64)
+            possible = 100 * (size - d) >= similarity * (size + d)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(d * 1_000_000 // np.maximum(size, 1))], names=["a", "b", "d"]).filter(pa.array(possible))
 
     pairs = pack(pairs)
     maps = parity_of(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct())
     one = maps.select(F.col("num").alias("a"), F.col("n").alias("n"), F.col("parity").alias("x"))
     two = maps.select(F.col("num").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, d long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
