@@ -79,12 +79,12 @@ def test_language_model_scores_match_a_slow_reading():
     order = sorted(range(500), key=lambda i: (-counts[i], hashes[i]))
     total, before, klass = counts.sum(), 0, []
     for i in order:
-        klass.append(min(31, int(32 * (before + counts[i] / 2) / total)))
+        klass.append(min(language_model.CLASSES - 1, int(language_model.CLASSES * (before + counts[i] / 2) / total)))
         before += counts[i]
     for t in range(len(h)):
         own = [order.index(i) for i in range(500) if hashes[i] == h[t]]
-        logits = [v.class_bias[c] + sum(m.classes[rows[f, t], c] for f in range(3)) for c in range(33)]
-        c = klass[own[0]] if own else 32
+        logits = [v.class_bias[c] + sum(m.classes[rows[f, t], c] for f in range(3)) for c in range(language_model.CLASSES + 1)]
+        c = klass[own[0]] if own else language_model.CLASSES
         want = logits[c] - math.log(sum(math.exp(x) for x in logits))
         if own:
             members = [p for p in range(500) if klass[p] == c]

@@ -31,7 +31,7 @@ from tidewater.llm.text import U64, column_bytes, mix, slices, word_hashes
 #: Words whose counts every task gets: those with a share of 1 / FREQUENT of all tokens, so at most as many.
 FREQUENT = 1 << 20
 #: Classes of listed words, besides that of all others.
-CLASSES = 32
+CLASSES = 16
 #: Rows of the class factor's weights, one for each hashed feature, and weights of all halvings together.
 ROWS, BITS = 1 << 14, 20
 #: Changes summed at once, and the parts in which weights are summed.
@@ -153,15 +153,19 @@ class Model:
         if not len(listed):
             nothing = np.zeros(0, np.int64)
             return nothing, nothing, np.zeros((3, 0), np.int64), np.zeros(0, np.float32)
-        depth = v.depth[place[listed]]
+        at = place[listed]
+        depth = v.depth[at]
         token = np.repeat(listed, depth)
-        left = np.repeat(np.cumsum(depth), depth) - np.arange(len(token)) - 1  # halvings still to come after this one
-        at = place[token]
-        whole = (np.int64(1) << v.depth[at].astype(np.int64)) + v.number[at]
-        node = v.base[v.klass[at]] + (whole >> (left + 1))
-        side = (whole >> left) & 1
-        salt = node.astype(U64) * U64(0xD1342543DE82EF95)
-        spots = (((keys[:, token] ^ salt) * U64(0x9E3779B97F4A7C15)) >> U64(64 - BITS)).astype(np.int64)
+        left = np.repeat(np.cumsum(depth), depth) - np.arange(1, len(token) + 1)  # halvings still to come after this one
+        path = np.repeat((np.int64(1) << depth.astype(np.int64)) + v.number[at], depth) >> left
+        side = path & 1
+        path >>= 1
+        node = np.repeat(v.base[v.klass[at]], depth) + path
+        spots = np.repeat(keys[:, listed], depth, axis=1)
+        spots ^= node.astype(U64) * U64(0xD1342543DE82EF95)
+        spots *= U64(0x9E3779B97F4A7C15)
+        spots >>= U64(64 - BITS)
+        spots = spots.view(np.int64)
         x = v.bias[node] + self.halves[spots[0]] + self.halves[spots[1]] + self.halves[spots[2]]
         return token, side, spots, x
 
@@ -171,7 +175,8 @@ class Model:
         p = self._softmax(rows)
         out = np.log(np.maximum(p[np.arange(n), self._klass(place)], 1e-30)).astype(np.float64)
         token, side, _, x = self._halvings(keys, place)
-        out -= np.bincount(token, weights=np.logaddexp(0, np.where(side == 1, -x, x)), minlength=n)
+        x *= 1 - 2 * side.astype(np.float32)
+        out -= np.bincount(token, weights=np.log1p(np.exp(np.clip(x, -60, 60))), minlength=n)
         return out / np.log(10)
 
     def update(self, rows, keys, place, seen) -> None:
