@@ -52,3 +52,21 @@ def test_nothing_else_imports_the_llm_subpackage():
             for f in files:
                 if f.endswith(".py"):
                     assert "tidewater.llm" not in open(os.path.join(folder, f)).read(), f
+
+
+def test_topological_levels_and_cycles(spark):
+    from tidewater.operators.graphs import topo_levels
+
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 1), (1, 3, 2), (9, 3, 1), (1, 2, 5)], "a long, b long, w int")
+    assert {tuple(r) for r in topo_levels(edges).collect()} == {(1, 0, 0), (9, 0, 0), (2, 1, 5), (3, 2, 6)}
+    assert topo_levels(edges.union(spark.createDataFrame([(3, 1, 1)], "a long, b long, w int"))).count() == 0
+    assert topo_levels(edges.limit(0)).count() == 0
+
+
+def test_number_words_vote(spark):
+    from tidewater.functions.strings import indented, number_words
+
+    given = {"three light": 3, "and network": 2, "lamp": None, "Twin bulb, TWO": 2, "four five": None, "": None, None: None, "ONE four four": 4}
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", number_words("t").alias("n")).collect()} == given
+    assert indented(None) is None and indented("{broken") is None and indented('{"k":1}') == '{\n  "k": 1\n}'
