@@ -150,3 +150,16 @@ def test_automaton_merges_and_scores():
     a = secret_scan.Automaton(["".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(200)])
     assert len(a.states) < 10
     assert a.score("0f1e2d3c4b5a69788796a5b4") > a.score("an_ordinary_name_2024") + 2
+
+
+def test_spans_of_formats_keep_off_taken_ones():
+    class Any:
+        def score(self, s):
+            return 1.0
+
+    r = random.Random(8)
+    for _ in range(200):
+        text = " ".join("".join(r.choice("ab01") for _ in range(r.randrange(10, 24))) for _ in range(12))
+        taken = sorted((a, a + r.randrange(1, 60)) for a in r.sample(range(len(text)), 4))
+        found = [m.span() for m in secret_scan.CANDIDATE.finditer(text) if any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group())]
+        assert secret_scan.format_spans(text, [(Any(), 0.0)], taken) == [(x, y) for x, y in found if not any(a < y and x < b for a, b in taken)]

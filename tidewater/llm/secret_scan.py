@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import cut as kept
 from tidewater.llm.text import slices
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -158,6 +159,7 @@ def learn(documents: DataFrame, text: str = "text", max_strings: int = 600, tail
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], names=["kind", "value"])
 
     strings = documents.select(text).mapInArrow(found, "kind int, value string").where(F.length("value") <= LONGEST).groupBy("kind", "value").count()
+    strings = kept(strings)  # the texts are read once for all kinds
     out = []
     for kind in range(3):
         rows = strings.where(F.col("kind") == kind).select("value", F.xxhash64("value").alias("h")).orderBy("h", "value").limit(max_strings)
@@ -172,13 +174,16 @@ def learn(documents: DataFrame, text: str = "text", max_strings: int = 600, tail
 
 
 def format_spans(text: str, models, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidate runs that an automaton finds likely enough and that touch none of the ``taken`` spans."""
-    out = []
+    """Candidate runs that an automaton finds likely enough and that touch none of the ``taken`` spans, which are sorted."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         s = m.group()
         if s.isdigit() or s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
             continue
-        if any(a < m.end() and m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > m.start():
             continue
         if any(automaton.score(s) >= least for automaton, least in models):
             out.append(m.span())
