@@ -170,3 +170,16 @@ def test_vectors_match_brute_force(spark, monkeypatch):
         want.append((good[k][0], len(links[k]), low, good[k][0] == low))
     want += [(i, 0, i, True) for i in (900, 901, 902, 903, 904, 905, 906)]
     assert got == sorted(want)
+
+
+def test_vectors_of_extreme_magnitudes(spark):
+    big, small, least = 1e200, 1e-200, 5e-324
+    rows = [(1, [big, big]), (2, [big, 1.0001e200]), (3, [small, small]), (4, [2 * small, 2 * small]), (5, [1.0, 1.0]), (6, [least, least]), (7, [1.7e308, -1.7e308]), (8, [1.0, -1.0]), (9, [-big, -big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(df).collect()}
+    assert got == {i: (5, 1) for i in (1, 2, 3, 4, 5, 6)} | {7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
+def test_no_vectors(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert near_duplicate_vectors(df).collect() == []

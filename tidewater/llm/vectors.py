@@ -80,6 +80,7 @@ def _matrices(column: pa.Array):
 
 def _verify_bucket(key: int, cid: np.ndarray, copies: np.ndarray, x: np.ndarray, side: np.ndarray, least: float):
     """(cid, links, root) of the classes of a block pair that have links there."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # powers of two: no norm overflows or vanishes
     norm = np.sqrt((x * x).sum(axis=1))
     unit = x / norm[:, None]
     p, q = np.nonzero(np.triu(unit @ unit.T >= least - 1e-9, 1))
@@ -161,7 +162,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.95, vecto
     Rows link when their cosine is at least ``threshold``; rows with equal vectors always do. Vectors
     that are null, empty or zero, or that hold a null or a non-finite component, link with nothing.
     ``component_id`` is the smallest vec_id reached (null ids do not count); ``kept`` says whether it is
-    the row's own. Repeated rows are vectors of their own. Vectors of different lengths never link.
+    the row's own. Repeated rows are vectors of their own. Vectors of different lengths never link. Components may be of any finite magnitude.
     """
     rows = embeddings.select("vec_id", F.col(vector).cast("array<double>").alias("embedding"))
     good = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)"
