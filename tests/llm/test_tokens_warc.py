@@ -67,3 +67,13 @@ def test_shorter_payloads_are_all_written(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.records(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_a_payload_of_many_magic_lines(spark, tmp_path):
+    html = (FAKE + "é\x7f\x00") * 4000 + "WARC/1.1\r\n" * 4000
+    df = spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "u", "x")], "page_id long, url string, html string")
+    warc.write(df.coalesce(1), str(tmp_path / "w"))
+    b = html.encode()
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.records(spark, str(tmp_path / "w")).collect()}
+    d = base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert got[1] == (len(b), d, "response", None) and got[2] == (len(b), d, "revisit", 1) and got[3][0] == 1

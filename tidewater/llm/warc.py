@@ -221,7 +221,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         again = _pieces(spark, path, raw_only=True).select("file", "block", "off", "raw")
         seen = seen.union(unseen.join(again, ["file", "block", "off"]).select("file", "owner", "at", "raw"))
     joined = seen.groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("p"))
-    blob = F.expr(f"aggregate(p, cast('' as binary), (a, x) -> concat(a, case when length(a) = 0 and x.at = owner then x.raw else concat(cast('{MAGIC}' as binary), x.raw) end))")
+    # Latin-1 has a character for every byte, so that all pieces are put together at once
+    blob = F.expr(f"encode(array_join(transform(p, x -> concat(if(x.at = owner, '', '{MAGIC}'), decode(x.raw, 'ISO-8859-1'))), ''), 'ISO-8859-1')")
     heads = walked.where("real and sha is null").select("file", F.col("at").alias("owner"), "header", "length")
     found = heads.join(joined.withColumn("blob", blob), ["file", "owner"])
     payload = F.expr("substring(blob, cast(octet_length(header) + 3 as int), cast(length as int))")
