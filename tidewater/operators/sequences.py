@@ -98,7 +98,13 @@ def call_exclusive(spark, sf_dir):
     return logs.groupBy("user_id").applyInPandas(run, "user_id long, event_id long, alone long")
 
 
-@book.plan("bio_spans")
+@book.plan(
+    "bio_spans",
+    """SELECT conv_id, span, min(turn) AS first_turn, max(turn) AS last_turn, min(role) AS role
+FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS span
+  FROM (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS fresh FROM conversations) x) y
+GROUP BY conv_id, span""",
+)
 def bio_spans(spark, sf_dir):
     """Spans from a tag sequence: runs of turns with one role within a conversation."""
     order = W.partitionBy("conv_id").orderBy("turn")
@@ -106,6 +112,20 @@ def bio_spans(spark, sf_dir):
     return tagged.withColumn("span", F.sum("new").over(order)).groupBy("conv_id", "span").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.first("role").alias("role"))
 
 
+# Spans of turns by BIOE tags (S: a span of one turn, O: no label), the true ones from roles, the found ones by
+# whether a text has several lines. A span is right if label, first and last turn agree. Turns are unique.
+sql(
+    "span_prf",
+    """WITH t AS (
+  SELECT conv_id, turn, 'gold' AS side, role AS label FROM conversations
+  UNION ALL SELECT conv_id, turn, 'found', CASE WHEN instr(text, chr(10)) > 0 THEN 'assistant' ELSE 'user' END FROM conversations),
+edges AS (SELECT *, lag(label) OVER (PARTITION BY conv_id, side ORDER BY turn) IS DISTINCT FROM label AS opens, lead(label) OVER (PARTITION BY conv_id, side ORDER BY turn) IS DISTINCT FROM label AS ends FROM t),
+tags AS (SELECT conv_id, turn, side, label, CASE WHEN label IS NULL THEN 'O' WHEN opens AND ends THEN 'S' WHEN opens THEN 'B' WHEN ends THEN 'E' ELSE 'I' END AS tag FROM edges),
+spans AS (SELECT conv_id, side, label, tag, turn AS a, CASE WHEN tag = 'S' THEN turn ELSE lead(turn) OVER (PARTITION BY conv_id, side ORDER BY turn) END AS b FROM tags WHERE tag IN ('B', 'E', 'S')),
+seen AS (SELECT conv_id, label, a, b, max(CASE WHEN side = 'gold' THEN 1 ELSE 0 END) AS g, max(CASE WHEN side = 'found' THEN 1 ELSE 0 END) AS f FROM spans WHERE tag <> 'E' GROUP BY conv_id, label, a, b),
+n AS (SELECT label, CAST(sum(g * f) AS BIGINT) AS tp, CAST(sum(f) AS BIGINT) AS found, CAST(sum(g) AS BIGINT) AS gold FROM seen GROUP BY label)
+SELECT label, tp, found - tp AS fp, gold - tp AS fn, round(tp / nullif(found, 0), 6) AS prec, round(tp / nullif(gold, 0), 6) AS rec, round(2 * tp / nullif(found + gold, 0), 6) AS f1 FROM n""",
+)
 sql("iob_tags", "SELECT event_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN concat('I-', event_type) ELSE concat('B-', event_type) END AS tag FROM events")
 sql("range_add", """WITH e AS (SELECT CAST(l_shipdate AS DATE) AS d, l_quantity AS q FROM lineitem UNION ALL SELECT date_add(CAST(l_shipdate AS DATE), 7), -l_quantity FROM lineitem), g AS (SELECT d, sum(q) AS q FROM e GROUP BY d) SELECT d, sum(q) OVER (ORDER BY d) AS load_ FROM g""",
     """WITH e AS (SELECT CAST(l_shipdate AS DATE) AS d, l_quantity AS q FROM lineitem UNION ALL SELECT CAST(l_shipdate AS DATE) + 7, -l_quantity FROM lineitem), g AS (SELECT d, sum(q) AS q FROM e GROUP BY d) SELECT d, sum(q) OVER (ORDER BY d) AS load_ FROM g""")

@@ -78,3 +78,23 @@ def throttle_schedule(spark, sf_dir):
 
 
 sql("tumbling_ext", "SELECT CAST(unix_timestamp(ts) / 3600 AS BIGINT) * 0 + unix_timestamp(ts) DIV 3600 AS hour_, count(*) AS n FROM events GROUP BY unix_timestamp(ts) DIV 3600, CAST(unix_timestamp(ts) / 3600 AS BIGINT) * 0".replace("CAST(unix_timestamp(ts) / 3600 AS BIGINT) * 0 + ", "").replace(", CAST(unix_timestamp(ts) / 3600 AS BIGINT) * 0", ""), "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS hour_, count(*) AS n FROM events GROUP BY ALL")
+
+
+@book.plan("sliding_ext", "SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 - 900 * k AS start_, count(*) AS n, count(value) AS n_values FROM events, range(4) r(k) WHERE ts IS NOT NULL GROUP BY start_")
+def sliding_ext(spark, sf_dir):
+    """Events in windows of an hour that start each quarter of an hour; null times are in none."""
+    hours = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+    return hours.select(F.unix_timestamp("w.start").alias("start_"), "n", "n_values")
+
+
+@book.plan(
+    "session_ext",
+    """SELECT user_id, min(t) AS start_, max(t) + 1800 AS end_, count(*) AS n
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s
+  FROM (SELECT user_id, ts, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL) x) y
+GROUP BY user_id, s""",
+)
+def session_ext(spark, sf_dir):
+    """Users' sessions, which end after half an hour without an event; null times are in none."""
+    found = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return found.select("user_id", F.unix_timestamp("w.start").alias("start_"), F.unix_timestamp("w.end").alias("end_"), "n")
