@@ -46,7 +46,7 @@ SHARED = 4
 #: Shingles counted so often go to SALTS tasks each.
 HOT, SALTS = 4096, 64
 #: Groups of a bucket that all others meet.
-PIVOTS = 32
+PIVOTS = 16
 #: Classes, and shingles of them, in a block of a cell.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles whose bits are held at once.
