@@ -93,3 +93,37 @@ def test_mixed_documents_keep_repeated_rows_and_clashing_columns(spark):
     for doc in (1, 2, 3):
         assert found.count(doc) == sum(r["repeats"] for r in plan if r["doc_id"] == doc)
     assert found.count(1) > 2
+
+
+def place(r):
+    return (r["position"] is None, r["position"] or 0.0, r["doc_id"] is None, r["doc_id"] or 0)
+
+
+def test_query_comes_in_training_order(spark, tmp_path):
+    rows = [(i if i % 11 else None, "w " * (i * 7 % 40), "abcd"[min(3, i % 7)] if i % 13 else None) for i in range(300)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, source string")
+    df.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.op8_curriculum_mix(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "repeats", "position"]
+    found = out.collect()
+    assert len(found) == 600 and [place(r) for r in found] == sorted(map(place, found))
+    assert any(r["repeats"] > 1 for r in found) and any(r["position"] is None for r in found)
+    assert sorted(map(key, found)) == sorted(map(key, other(df).execute(mixing.ORACLE).fetchall()))
+
+
+def test_training_sequence_places_every_reading(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 9), "aaaabc"[i % 6]) for i in range(600)], "doc_id long, text string, source string")
+    plan = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    run = [r for r in mixing.training_sequence(df).collect() if r["pass"] is not None]
+    assert [r["due"] for r in run] == sorted(r["due"] for r in run)
+    assert sorted((r["doc_id"], r["pass"]) for r in run) == sorted((d, p) for d, r in plan.items() for p in range(r["repeats"]))
+    assert max(r["pass"] for r in run) > 0
+    for d, r in plan.items():
+        own = [x for x in run if x["doc_id"] == d]
+        assert sum(x["words"] for x in own) == r["taken"]
+        assert not own or min(x["due"] for x in own) == r["position"]
+    for source, slope in (("a", 0.5), ("b", 0.0), ("c", -0.5)):
+        own = [r for r in run if r["source"] == source]
+        for t in (0.25, 0.5, 0.75):
+            read = sum(r["words"] for r in own if r["due"] < t)
+            assert abs(read / own[0]["goal"] - (t + slope * (t * t - t))) <= 9 / own[0]["goal"] + 1e-9

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewater.llm.shared import scratch, unused
+from tidewater.llm.shared import cut, scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,6 +99,34 @@ def mix(documents: DataFrame, text: str = "text", max_repeats: int = 3, slopes:
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", repeats.alias("repeats"), due.alias("position"), "offset", "goal", slope.alias("slope"), *carry)
 
 
+def readings(plan: DataFrame) -> DataFrame:
+    """One row per reading of the documents of ``mix``: its columns, and pass, words, due.
+
+    ``pass`` counts from 0; ``words`` is what the pass takes of the document; ``due`` (0 to 1) is where
+    in the run the reading comes, that of pass 0 being ``position``. A document that is not taken has
+    one row, in which pass and due are null and words 0.
+    """
+    times = F.when(F.col("repeats") > 0, F.sequence(F.lit(1), F.col("repeats")))
+    rows = plan.select("*", F.posexplode_outer(times).alias("pass", "nth")).drop("nth")
+    before = F.col("offset") + F.col("pass") * F.col("source_size")
+    words = F.when(F.col("pass").isNull(), F.lit(0)).otherwise(F.least(F.col("size"), F.col("goal") - before)).cast("long")
+    share = F.least(before / F.greatest(F.col("goal"), F.lit(1)), F.lit(1.0))
+    return rows.withColumn("words", words).withColumn("due", F.when(F.col("pass").isNotNull(), position(share, F.col("slope"))))
+
+
+def in_order(rows: DataFrame, *order) -> DataFrame:
+    """The rows range-sorted: every partition is sorted and comes after the one before."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def training_sequence(documents: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The ``readings`` of the mix in training order, without texts; documents that are not taken come last.
+
+    Readings due at the same position come by doc_id, source and place in the source, so that reruns agree.
+    """
+    return in_order(readings(mix(documents, text, **options)), F.col("due").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("source").asc_nulls_last(), "offset", "size", "pass")
+
+
 def mixed_documents(documents: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents as the mix reads them: each as often as it is touched, sorted by position.
 
@@ -113,19 +141,22 @@ def mixed_documents(documents: DataFrame, text: str = "text", **options) -> Data
     path = scratch(spark, "mix")
     documents.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
     keyed = spark.read.parquet(path)
-    plan = mix(keyed, text, **options, carry=(key,)).where("repeats > 0")
-    plan = plan.select(F.col("doc_id").alias("id"), F.col("carry_0").alias("row"), F.posexplode(F.sequence(F.lit(1), F.col("repeats"))).alias("pass", "nth"), "source_size", "goal", "offset", "slope")
-    share = (F.col("offset") + F.col("pass") * F.col("source_size")) / F.col("goal")
-    at = F.struct(position(F.least(share, F.lit(1.0)), F.col("slope")).alias("position"), "id", "row", "pass")
+    plan = readings(mix(keyed, text, **options, carry=(key,)).where("repeats > 0"))
+    at = F.struct(F.col("due").alias("position"), F.col("doc_id").alias("id"), F.col("carry_0").alias("row"), "pass")
     place = unused("mix_place", documents.columns)
-    plan = plan.select(F.col("row").alias(key), at.alias(place))
-    out = keyed.join(plan, key)
-    return out.repartitionByRange(place).sortWithinPartitions(place).select(*documents.columns)
+    plan = plan.select(F.col("carry_0").alias(key), at.alias(place))
+    return in_order(keyed.join(plan, key), place).select(*documents.columns)
 
 
 def op8_curriculum_mix(spark, sf_dir: str) -> DataFrame:
+    """One row per document, in the order in which the run first reads them; those not taken come last.
+
+    The run is kept whole before first readings are picked, else the pick would go before the sort and
+    later readings would get no place.
+    """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(documents).select("doc_id", "size", "source_size", "target", "taken", "repeats", "position")
+    run = cut(training_sequence(documents))
+    return run.where("coalesce(pass, 0) = 0").select("doc_id", "size", "source_size", "target", "taken", "repeats", F.col("due").alias("position"))
 
 
 ORACLE = r"""
