@@ -64,3 +64,11 @@ def test_round_as_spark_does(spark):
     want = [r[0] for r in spark.createDataFrame([(v,) for v in d], "d double").select(F.round("d", 6)).collect()]
     assert neighbours.round6(np.array(d)).tolist() == want
 
+
+def test_laplacian_links_vectors_of_different_labels(spark, tmp_path):
+    from tidewater.operators.graphs import knn_laplacian
+
+    rows = [(i, [float(i)], i % 2) for i in range(4)] + [(10, [50.0], 7)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r["i"], r["j"]): r["v"] for r in knn_laplacian(spark, str(tmp_path)).collect()}
+    assert found[(0, 1)] == -1 and found[(10, 3)] == -1 and found[(0, 0)] == 3 and found[(3, 3)] == 4
