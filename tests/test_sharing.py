@@ -42,3 +42,23 @@ def test_a_large_key_is_dealt_to_pieces(spark):
     found = sharing.within(df, ["k"], F.col("x.id") < F.col("y.id"))
     assert found.count() == 5000 * 4999 // 2
     assert found.select("x.piece_").distinct().count() == 3
+
+
+def test_predictions_of_odd_ratings(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from tidewater.operators import learning
+
+    monkeypatch.setattr(learning, "BLOCK_USERS", 5)
+    r = random.Random(8)
+    orders = [(k, r.randint(0, 30) if k % 9 else None) for k in range(120)]
+    lines = [(r.randint(0, 130), r.randint(0, 25) if r.random() > 0.1 else None, float(r.randint(1, 50)) if r.random() > 0.2 else None) for _ in range(400)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = learning.cf_predict(spark, str(tmp_path))
+    assert "ObjectHashAggregate" not in df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    show = lambda rows: sorted(str((u, i, v if v is None else round(v, 5))) for u, i, v in rows)
+    assert show(df.collect()) == show(con.execute(learning.CF).fetchall())
