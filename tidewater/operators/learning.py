@@ -208,13 +208,14 @@ def fm_regression(spark, sf_dir):
 @book.plan("user_regression")
 def user_regression(spark, sf_dir):
     """A least-squares line per part: quantity by discount."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["l_discount"], pdf["l_quantity"]
-        slope = float(((x - x.mean()) * (y - y.mean())).sum() / max(1e-12, ((x - x.mean()) ** 2).sum()))
-        return pd.DataFrame({"l_partkey": [pdf["l_partkey"].iloc[0]], "slope": [slope], "intercept": [float(y.mean() - slope * x.mean())]})
-
-    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_discount", "l_quantity").groupBy("l_partkey").applyInPandas(fit, "l_partkey long, slope double, intercept double")
+    t = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"))
+    of_part = W.partitionBy("l_partkey")
+    t = t.withColumn("mx", F.avg("x").over(of_part)).withColumn("my", F.avg("y").over(of_part))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    sums = t.groupBy("l_partkey").agg(total(dx * dy).alias("xy"), total(dx * dx).alias("xx"), F.first("mx").alias("mx"), F.first("my").alias("my"))
+    slope = F.col("xy") / F.greatest(F.lit(1e-12), F.col("xx"))
+    return sums.select("l_partkey", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 
 
 @book.plan("viterbi")
