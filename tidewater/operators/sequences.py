@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewater.operators.words import around, counted, documents_words
 from tidewater.plans.query import Book, table
 
 book = Book()
@@ -51,9 +52,12 @@ def both(name: str, text: str) -> None:
     sql(name, text.replace("TOK", TOK[0]), text.replace("TOK", TOK[1]))
 
 
-# a token's neighbours come from its document's array, without a join of positions
-sql("skipgram_pairs", "SELECT p.w AS w, p.c AS c, count(*) AS n FROM (SELECT explode(flatten(transform(ws, (x, i) -> transform(array_distinct(filter(array(get(ws, i - 2), get(ws, i - 1), get(ws, i + 1), get(ws, i + 2)), y -> y IS NOT NULL)), y -> named_struct('w', x, 'c', y))))) AS p FROM (SELECT regexp_extract_all(lower(text), '[a-z]+', 0) AS ws FROM documents) d) t GROUP BY p.w, p.c",
-    "SELECT w, c, count(*) AS n FROM (SELECT w, unnest(list_distinct(list_filter([lag(w, 2) OVER o, lag(w, 1) OVER o, lead(w, 1) OVER o, lead(w, 2) OVER o], lambda y: y IS NOT NULL))) AS c FROM " + TOK[1] + " t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) x GROUP BY w, c")
+@book.plan("skipgram_pairs", "SELECT w, c, count(*) AS n FROM (SELECT w, unnest(list_distinct(list_filter([lag(w, 2) OVER o, lag(w, 1) OVER o, lead(w, 1) OVER o, lead(w, 2) OVER o], lambda y: y IS NOT NULL))) AS c FROM " + TOK[1] + " t WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) x GROUP BY w, c")
+def skipgram_pairs(spark, sf_dir):
+    """Words with each different word at most two places away, counted by occurrence."""
+    return counted(documents_words(spark, sf_dir), around).select(F.col("a").alias("w"), F.col("b").alias("c"), "n")
+
+
 both("token_contexts", "SELECT doc_id, pos, w, lag(w, 1) OVER o AS l1, lag(w, 2) OVER o AS l2, CASE WHEN pos < n - 2 THEN lead(w, 1) OVER o END AS r1 FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM TOK t) x WINDOW o AS (PARTITION BY doc_id ORDER BY pos)")
 # without a window over a document's tokens
 sql("token_shape_features", "SELECT doc_id, pos, t.w AS w, t.prev AS prev, t.next AS next, length(t.w) AS len FROM (SELECT doc_id, posexplode(transform(ws, (x, i) -> named_struct('w', x, 'prev', coalesce(get(ws, i - 1), '__START1__'), 'next', coalesce(get(ws, i + 1), '__END1__')))) AS (pos, t) FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+', 0) AS ws FROM documents) d) x",
